@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomsearch.llm import decontam, url_filter
+from loomsearch.llm import decontam, pii, secret_scan, url_filter
 from loomsearch.llm._shared import read_table
 
 
@@ -14,8 +14,18 @@ def op2_decontamination(spark, sf_dir):
     return decontam.contaminated_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_personal_data(spark, sf_dir):
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.secrets(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_personal_data": op3_personal_data,
+    "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
 }
 
