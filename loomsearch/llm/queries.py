@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomsearch.llm import decontam, pii, secret_scan, url_filter
+from loomsearch.llm import decontam, line_dedup, packing, pii, quality, secret_scan, url_filter
 from loomsearch.llm._shared import read_table
 
 
@@ -18,6 +18,18 @@ def op3_personal_data(spark, sf_dir):
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.dropped_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.secrets(read_table(spark, sf_dir, "documents"))
 
@@ -25,6 +37,9 @@ def op8_secret_scan(spark, sf_dir):
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_personal_data": op3_personal_data,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
 }
