@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomsearch.llm import decontam, line_dedup, packing, pii, quality, secret_scan, url_filter
+from loomsearch.llm import decontam, line_dedup, ngram_join, packing, pii, quality, secret_scan, url_filter
 from loomsearch.llm._shared import read_table
 
 
@@ -10,6 +10,10 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontam.contaminated_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +39,7 @@ def op8_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op3_personal_data": op3_personal_data,
     "op5_quality_classifier": op5_quality_classifier,
@@ -45,6 +50,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op2_decontamination": decontam.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }
