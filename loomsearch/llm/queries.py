@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loomsearch.llm import decontam, line_dedup, ngram_join, packing, pii, quality, secret_scan, url_filter
 from loomsearch.llm._shared import read_table
 
@@ -47,6 +48,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
