@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomsearch.llm import decontam, line_dedup, ngram_join, packing, pii, quality, secret_scan, url_filter
+from loomsearch.llm import decontam, fingerprint, line_dedup, ngram_join, packing, pii, quality, secret_scan, suffix_dedup, url_filter
 from loomsearch.llm._shared import read_table
 
 
@@ -23,6 +23,10 @@ def op3_personal_data(spark, sf_dir):
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark, sf_dir):
+    return fingerprint.matches(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -39,15 +43,21 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op3_personal_data": op3_personal_data,
+    "op4_fingerprints": op4_fingerprints,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -55,4 +65,5 @@ ORACLES = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op2_decontamination": decontam.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }
