@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomsearch.llm import _shared
+
 BUCKETS = 1024
 
 
@@ -160,4 +162,4 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     each. Other columns are ignored.
     """
     sizes = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), count(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("tokens"))
-    return pack_lengths(sizes, capacity)
+    return pack_lengths(_shared.cut(sizes), capacity)  # the texts are read once, the lengths several times
