@@ -21,18 +21,19 @@ def feature_rows(ranked: DataFrame, queries: DataFrame, terms: DataFrame, by_fie
     `ranked(query_id, doc_id, rank, score)`, `queries(query_id, query, intent)`, `docs(doc_id, path, quality signals,
     static_prior)`, `judged(query_id, path, relevance)`.
     """
-    counts = field_matches(terms, by_field).groupBy("query_id", "doc_id").pivot("field", fields.FIELDS).agg(F.first("matches"))
+    counts = field_matches(terms, by_field).groupBy("query_id", "doc_id").pivot("field", fields.FIELDS).agg(F.first("matches")).withColumnsRenamed({f: f"_{f}_matches" for f in fields.FIELDS})
     provenance = terms.groupBy("query_id").agg(
         F.count_if(F.col("provenance") == "controlled_expansion").cast("double").alias("n_controlled"),
         F.count_if(F.col("provenance") == "feedback").cast("double").alias("n_feedback"),
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("provenance") != "original", F.struct("term", "provenance"))))).alias("expansion_provenance"),
     )
     rows = ranked.join(docs, "doc_id").join(queries, "query_id").join(counts, ["query_id", "doc_id"], "left").join(provenance, "query_id", "left")
-    rows = rows.join(judged.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (rows["query_id"] == judged["query_id"]), "left").drop(judged["query_id"]).drop("_path")
+    named = judged.select(F.col("query_id").alias("_query"), F.col("path").alias("_path"), "relevance")
+    rows = rows.join(named, (F.col("path") == F.col("_path")) & (F.col("query_id") == F.col("_query")), "left")
     features = F.map_concat(
         F.create_map(F.lit("ranking_score"), F.col("score")),
         F.map_from_entries(F.transform(F.map_entries(quality.feature_map({k: F.col(k) for k in quality.SIGNALS}, F.col("static_prior"))), lambda e: F.struct(F.concat(F.lit("static."), e["key"]).alias("key"), e["value"].alias("value")))),
-        F.create_map(*[x for f in fields.FIELDS for x in (F.lit(f"field_match.{f}"), F.coalesce(F.col(f), F.lit(0)).cast("double"))]),
+        F.create_map(*[x for f in fields.FIELDS for x in (F.lit(f"field_match.{f}"), F.coalesce(F.col(f"_{f}_matches"), F.lit(0)).cast("double"))]),
         F.create_map(
             F.lit("path_exact_contains_query"), text.contains_normalized(F.col("path"), F.col("query")),
             F.lit("filename_exact_contains_query"), text.contains_normalized(text.file_name(F.col("path")), F.col("query")),

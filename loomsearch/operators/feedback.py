@@ -37,7 +37,11 @@ def expanded(terms: DataFrame, found: DataFrame) -> DataFrame:
     return query.merge_terms(terms, found.select("query_id", "term", "weight", F.lit("feedback").alias("provenance")))
 
 
-def rank_with_feedback(rank: Callable[[DataFrame, int], DataFrame], terms: DataFrame, by_field: DataFrame, top_n: int = 10, n_seeds: int | None = None, n_terms: int = 6) -> DataFrame:
-    """Ranks, widens the query by the first results, and ranks again. `rank(terms, k)` gives `(query_id, doc_id, ...)`."""
-    seeds = rank(terms, min(top_n, 3) if n_seeds is None else n_seeds).select("query_id", "doc_id")
-    return rank(expanded(terms, feedback_terms(seeds, by_field, terms, n_terms)), top_n)
+def rank_with_feedback(rank: Callable[[DataFrame, int], DataFrame], terms: DataFrame, postings_of: Callable[[DataFrame], DataFrame], top_n: int = 10, n_seeds: int | None = None, n_terms: int = 6) -> DataFrame:
+    """Ranks, widens the query by the first results, and ranks again.
+
+    `rank(terms, k)` gives `(query_id, doc_id, ...)`; `postings_of(seeds)` gives `(term, doc_id, field, tf)` of these
+    documents only. The few seeds are kept, as two parts of the plan need them.
+    """
+    seeds = rank(terms, min(top_n, 3) if n_seeds is None else n_seeds).select("query_id", "doc_id").persist()
+    return rank(expanded(terms, feedback_terms(seeds, postings_of(seeds), terms, n_terms)), top_n)

@@ -40,6 +40,28 @@ def query_postings(docs: DataFrame, key: str, terms: DataFrame, content: str = "
     return posts, view.select(key, "length")
 
 
+def query_field_postings(fields: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From `(doc_id, field, tokens)`: `(term, doc_id, field, tf)` of the terms of `terms(term)` only, and `(doc_id, field, length)`.
+
+    Like `query_postings`, one pass over the tokens serves both; empty fields are absent.
+    """
+    one = terms.select("term").distinct().agg(F.collect_set("term").alias("_wanted"))
+    there = fields.where(F.size("tokens") > 0).crossJoin(F.broadcast(one))
+    view = there.select("doc_id", "field", F.size("tokens").cast("bigint").alias("length"), F.filter("tokens", lambda t: F.array_contains("_wanted", t)).alias("hits")).persist()
+    posts = view.select("doc_id", "field", F.explode("hits").alias("term")).groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"))
+    return posts, view.select("doc_id", "field", "length")
+
+
+def field_frequencies(fields: DataFrame) -> DataFrame:
+    """From `(doc_id, field, tokens)`: `(term, doc_id, field, tf)`."""
+    return fields.select("doc_id", "field", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"))
+
+
+def field_averages(lengths: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """`(field, avg_length)` over all documents, with those that lack the field as 0; `n_docs` is one row `(n)`."""
+    return lengths.groupBy("field").agg(F.sum("length").alias("total")).crossJoin(F.broadcast(n_docs)).select("field", (F.col("total") / F.col("n")).alias("avg_length"))
+
+
 def positional_postings(fields: DataFrame) -> DataFrame:
     """From `(doc_id, field, tokens)`: `(term, doc_id, field, tf, positions)` with positions ascending."""
     each = fields.select("doc_id", "field", F.posexplode("tokens").alias("pos", "term"))
@@ -120,5 +142,4 @@ class Index:
 
     def avg_field_lengths(self) -> DataFrame:
         """`(field, avg_length)` over all documents, with those that lack the field as 0."""
-        n = self.docs.agg(F.count("*").alias("n"))
-        return self.field_lengths().groupBy("field").agg(F.sum("length").alias("total")).crossJoin(F.broadcast(n)).select("field", (F.col("total") / F.col("n")).alias("avg_length"))
+        return field_averages(self.field_lengths(), self.docs.agg(F.count("*").alias("n")))

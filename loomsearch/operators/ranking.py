@@ -134,18 +134,21 @@ def phrase_counts(positions: DataFrame, phrases: DataFrame) -> DataFrame:
 def cover_spans(positions: DataFrame, terms: DataFrame) -> DataFrame:
     """`(query_id, doc_id, field, span)`: least distance from first to last position that has every distinct term.
 
-    At each position of a term the latest positions of all terms are known from a running array of maxima by term
-    number; the span ends there and starts at the earliest of them.
+    The positions of a field are folded once, in order, with an array of the latest position of each term: wherever
+    all terms have been seen, the span ends there and starts at the earliest of them.
     """
     distinct = terms.select("query_id", "term").distinct()
-    numbered = distinct.withColumn("t", F.row_number().over(Window.partitionBy("query_id").orderBy("term")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    hits = positions.join(numbered, "term")
-    by = Window.partitionBy("query_id", "doc_id", "field").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    most = terms.sparkSession.conf.get("loom.maxCoverTerms", "32")
-    latest = [F.max(F.when(F.col("t") == i, F.col("pos"))).over(by) for i in range(int(most))]
-    ready = hits.withColumn("last", F.array(*latest)).where(F.size(F.filter(F.slice("last", 1, F.col("n")), lambda x: x.isNotNull())) == F.col("n"))
-    span = F.col("pos") - F.array_min(F.slice("last", 1, F.col("n")))
-    return ready.groupBy("query_id", "doc_id", "field").agg(F.min(span).alias("span"))
+    numbered = distinct.withColumn("t", F.row_number().over(Window.partitionBy("query_id").orderBy("term")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("query_id")).cast("int"))
+    hits = positions.join(numbered, "term").groupBy("query_id", "doc_id", "field", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "t"))).alias("hits"), F.count_distinct("t").alias("seen"))
+    start = F.struct(F.array_repeat(F.lit(-1), F.col("n")).alias("last"), F.lit(None).cast("int").alias("span"))
+
+    def fold(acc: Column, hit: Column) -> Column:
+        last = F.transform(acc["last"], lambda x, i: F.when(i == hit["t"], hit["pos"]).otherwise(x))
+        low = F.array_min(last)
+        return F.struct(last.alias("last"), F.when(low >= 0, F.least(acc["span"], hit["pos"] - low)).otherwise(acc["span"]).alias("span"))
+
+    found = hits.where(F.col("seen") == F.col("n")).select("query_id", "doc_id", "field", F.aggregate("hits", start, fold, lambda acc: acc["span"]).alias("span"))
+    return found.where("span is not null")
 
 
 def proximity_bonus(positions: DataFrame, terms: DataFrame, window: int = 8, boost: float = 0.75) -> DataFrame:

@@ -127,6 +127,20 @@ def trigram_postings(docs: DataFrame, key: str, content: str) -> DataFrame:
     return chars.select("doc_id", F.explode(F.array_distinct(text.trigrams(F.filter("chars", lambda c: c != "")))).alias("gram"))
 
 
+def plan_trigrams(planned: All | And | Or) -> list[str]:
+    """All trigrams that a plan may ask for."""
+    if isinstance(planned, Or):
+        return sorted({t for p in planned.branches for t in plan_trigrams(p)})
+    return sorted(set(planned.trigrams)) if isinstance(planned, And) else []
+
+
+def plan_postings(docs: DataFrame, key: str, content: str, planned: All | And | Or) -> DataFrame:
+    """`(gram, doc_id)` of the trigrams of one plan, where no trigram table was written: a scan with `contains`."""
+    grams = F.array(*map(F.lit, plan_trigrams(planned))).cast("array<string>")
+    held = docs.select(F.col(key).alias("doc_id"), F.coalesce(content, F.lit("")).alias("_body"))
+    return held.select("doc_id", F.explode(F.filter(grams, lambda g: F.contains("_body", g))).alias("gram"))
+
+
 @dataclass
 class Selection:
     """Candidates `(doc_id)` of a plan and how they were found."""
@@ -227,11 +241,16 @@ def search_regex(docs: DataFrame, key: str, content: str, pattern: str, posts: D
 POSITION_BUCKETS, NEXT_BUCKETS = 8, 128
 
 
-def trigram_masks(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """`(gram, doc_id, places, next_low, next_high)`: bits of position mod 8 and of the next character mod 128."""
+def trigram_masks(docs: DataFrame, key: str, content: str, grams: list[str] | None = None) -> DataFrame:
+    """`(gram, doc_id, places, next_low, next_high)`: bits of position mod 8 and of the next character mod 128.
+
+    With `grams` only their rows are made, and the others are dropped before the shuffle.
+    """
     chars = docs.select(F.col(key).alias("doc_id"), F.filter(F.split(F.coalesce(content, F.lit("")), ""), lambda c: c != "").alias("chars"))
     at = F.posexplode(text.trigrams(F.col("chars"))).alias("pos", "gram")
     each = chars.select("doc_id", "chars", at).select("doc_id", "gram", "pos", F.get("chars", F.col("pos") + 3).alias("next"))
+    if grams is not None:
+        each = each.where(F.col("gram").isin(*grams))
     code = F.pmod(F.expr("ascii(next)"), F.lit(NEXT_BUCKETS))
     bit = lambda cond, shift: F.when(F.col("next").isNotNull() & cond, F.call_function("shiftleft", F.lit(1).cast("bigint"), shift.cast("int"))).otherwise(F.lit(0).cast("bigint"))
     return each.groupBy("gram", "doc_id").agg(
