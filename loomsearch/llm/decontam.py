@@ -134,7 +134,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, least
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the documents that hold a benchmark passage; rows with a null id or text stay."""
     found = contaminated_spans(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "_found"), docs[options.get("id_col", "doc_id")] == F.col("_found"), "left_anti")
+    return docs.join(found.withColumnRenamed("doc_id", "_loom_found"), docs[options.get("id_col", "doc_id")] == F.col("_loom_found"), "left_anti")
 
 
 ORACLE = r"""

@@ -139,10 +139,10 @@ def drop_recurring(docs: DataFrame, min_docs: int = 10, similarity: float = 0.9,
 
     A document left with blank lines only is dropped; one that was blank or null before stays, as do rows with a null id.
     """
-    found = _found(docs, min_docs, similarity, lead).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).where(F.col("_gone").isNull() | F.col("text").rlike(r"\S"))
+    found = _found(docs, min_docs, similarity, lead).groupBy(F.col("doc_id").alias("_loom_id"), F.col("text_hash").alias("_loom_hash")).agg(F.collect_set("line_no").alias("_loom_gone"))
+    joined = docs.join(found, (F.col("doc_id") == F.col("_loom_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_loom_hash")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_loom_gone", i)), "\n")
+    out = joined.withColumn("text", F.when(F.col("_loom_gone").isNull(), F.col("text")).otherwise(kept)).where(F.col("_loom_gone").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_loom_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

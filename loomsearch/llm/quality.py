@@ -206,6 +206,6 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """`docs` without the documents that resampling rejects; rows with a null id stay."""
-    kept = resample(docs, labels, **options).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    kept = resample(docs, labels, **options).select(F.col("doc_id").alias("_loom_kept")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_loom_kept"), "left_semi")
     return named.unionByName(docs.where("doc_id is null"))
