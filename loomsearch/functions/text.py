@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,10 +36,14 @@ def identifier_parts(lexeme: Column) -> Column:
     return F.concat(parts, tail)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, where `use` names it several times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def identifier_stream(lexeme: Column) -> Column:
     """The lexeme, its parts joined, and its parts, each once."""
-    parts = identifier_parts(lexeme)
-    full = F.array_distinct(F.concat(F.array(F.lower(lexeme), F.array_join(parts, "")), parts))
+    full = _once(identifier_parts(lexeme), lambda parts: F.array_distinct(F.concat(F.array(F.lower(lexeme), F.array_join(parts, "")), parts)))
     return F.when(lexeme.rlike(_PLAIN), F.array(F.lower(lexeme))).otherwise(full)
 
 
@@ -51,7 +57,10 @@ def prose_pieces(text: Column, stop_words: list[str]) -> Column:
     stops = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
 
     def of(lexeme: Column) -> Column:
-        parts = identifier_parts(lexeme)
+        plain = F.array(F.lower(lexeme))
+        return _once(F.when(lexeme.rlike(_PLAIN), plain).otherwise(identifier_parts(lexeme)), lambda parts: pieces(lexeme, parts))
+
+    def pieces(lexeme: Column, parts: Column) -> Column:
         kept = F.filter(parts, lambda p: ~F.array_contains(stops, p))
         surface = F.when((F.size(parts) > 1) | lexeme.rlike("[_-]"), F.array(F.lower(lexeme), F.array_join(parts, ""))).otherwise(F.array().cast("array<string>"))
         return F.concat(F.transform(surface, lambda t: F.struct(t.alias("term"), F.lit(False).alias("stem"))), F.transform(kept, lambda t: F.struct(t.alias("term"), F.lit(True).alias("stem"))))

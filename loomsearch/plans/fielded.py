@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from loomsearch.functions.oracle import tokens_cte
 from loomsearch.operators import features, feedback, fields, index, quality, query, ranking
-from loomsearch.plans.lexical import FIELD_TOKENS, field_tokens, rounded, table
+from loomsearch.plans.lexical import FIELD_TOKENS, field_tokens, rounded, table, texts
 
 TEXTS = ["blog index example version", "m.ththth.example.net/en"]
 K = 10
 
 
 def _pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"), "html")
+    return texts(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"), "html")
 
 
 def _setup(spark, sf_dir):

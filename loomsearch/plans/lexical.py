@@ -14,8 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. If it has fewer files than there are cores, rows are spread over the cores, as analysis costs more."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return texts(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -48,7 +54,7 @@ def doc_lengths(spark, sf_dir):
 
 def field_tokens(spark, sf_dir) -> DataFrame:
     """Fields of pages, the address being the path. All are analysed as code, so that SQL can express the rest."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = texts(spark, sf_dir, "pages").select("page_id", "url", "html")
     return fields.field_tokens(fields.base_fields(pages, "page_id", "url", "html"))
 
 

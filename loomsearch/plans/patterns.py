@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomsearch.operators import index, postings_codec
 from loomsearch.operators import regex_search as rx
-from loomsearch.plans.lexical import TF, docs, table
+from loomsearch.plans.lexical import TF, docs, table, texts
 
 LITERAL = "General Public"
 PATTERN = r'href="/[A-Za-z]+"'
@@ -15,7 +15,7 @@ MASKED = "General Public"
 
 
 def _pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "html")
+    return texts(spark, sf_dir, "pages").select("page_id", "html")
 
 
 def trigram_df(spark, sf_dir):
