@@ -2,7 +2,8 @@
 
 Tokens are 64-bit numbers whose low 58 bits are hashed. Each task packs its tokens by bucket into binary rows, as a
 row for each token would cost several times the bytes. A bucket's task finds runs of equal tokens, pairs the keys in
-them and packs the pairs with their counts, by the key that comes first; the last task adds up and filters.
+them and packs the pairs with their counts, by the key that comes first; the last task adds up and filters. Pairs are
+packed as differences, for in a group of copies each key has all the others next to it.
 """
 
 from __future__ import annotations
@@ -11,12 +12,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "bucket int, payload binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 _PAIRS = pa.schema([("key_a", pa.int64()), ("key_b", pa.int64()), ("shared", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _small(arrays: list[np.ndarray]) -> bytes:
+    """Compressed bytes of uint32 arrays, first bytes first, as most are small numbers."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays))
+
+
+def _large(data: bytes, sizes: list[int]) -> list[np.ndarray]:
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
+    for n in sizes:
+        out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view(np.uint32).ravel())
+        at += 4 * n
+    return out
 
 
 def buckets(spark: SparkSession, parts: int) -> list[int]:
@@ -26,22 +42,37 @@ def buckets(spark: SparkSession, parts: int) -> list[int]:
     return [found.get(p, p) for p in range(parts)]
 
 
+def _named(keys: np.ndarray) -> bytes:
+    """Keys as they are, or by differences where they ascend in small steps, as numbers given in order do."""
+    steps = np.diff(keys)
+    if len(keys) > 1 and steps.min() > 0 and steps.max() < 1 << 32:
+        near = _small([steps])
+        return np.array([len(near)], np.uint32).tobytes() + keys[:1].tobytes() + near
+    return np.zeros(1, np.uint32).tobytes() + keys.tobytes()
+
+
+def _names(payload: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """`(keys, where they end)`."""
+    size = int(np.frombuffer(payload, np.uint32, 1, at)[0])
+    if not size:
+        return np.frombuffer(payload, np.int64, n, at + 4), at + 4 + 8 * n
+    first = int(np.frombuffer(payload, np.int64, 1, at + 4)[0])
+    (steps,) = _large(payload[at + 12 : at + 12 + size], [n - 1])
+    return first + np.concatenate([[0], np.cumsum(steps.astype(np.int64))]), at + 12 + size
+
+
 class Packer:
-    """Collects `(key, size, tokens)` of a task and packs them by bucket."""
+    """Collects `(key, tokens)` of a task and packs them by bucket, with the place of each token in its key if `placed`."""
 
-    def __init__(self, numbers: list[int], most: int = 1 << 20):
-        self.numbers, self.most = np.array(numbers, np.int32), most
-        self.seen: dict[int, int] = {}
-        self.sizes: list[int] = []
-        self.tokens: list[np.ndarray] = []
+    def __init__(self, numbers: list[int], placed: bool = False, most: int = 1 << 20):
+        self.numbers, self.placed, self.most = np.array(numbers, np.int32), placed, most
+        self.seen: dict[int, np.ndarray] = {}
         self.held = 0
 
-    def add(self, key: int, size: int, tokens: np.ndarray) -> None:
+    def add(self, key: int, tokens: np.ndarray) -> None:
         """A key that the task had before (an identical group) isn't packed again."""
         if key not in self.seen:
-            self.seen[key] = len(self.sizes)
-            self.sizes.append(size)
-            self.tokens.append(tokens)
+            self.seen[key] = tokens
             self.held += len(tokens)
 
     def full(self) -> bool:
@@ -49,35 +80,73 @@ class Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            keys, sizes = np.array(list(self.seen), np.int64), np.array(self.sizes, np.uint32)
-            own = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(t) for t in self.tokens])
-            tok = np.concatenate(self.tokens)
+            keys = np.array(list(self.seen), np.int64)
+            lengths = np.array([len(t) for t in self.seen.values()])
+            own = np.repeat(np.arange(len(keys)), lengths)
+            tok = np.concatenate(list(self.seen.values()))
+            at = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             part = ((tok >> np.uint64(40)) & np.uint64((1 << 18) - 1)).astype(np.int64) % len(self.numbers)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(len(self.numbers) + 1))
-            tok, own = tok[order], own[order]
+            tok, own, at = tok[order], own[order], at[order]
             for p, (a, b) in enumerate(zip(edges, edges[1:])):
                 if b > a:
-                    here, back = np.unique(own[a:b], return_inverse=True)
+                    here, counts = np.unique(own[a:b], return_counts=True)
                     t = tok[a:b]
-                    wide = np.uint32 if len(here) > 65535 else np.uint16
-                    body = [np.array([len(here), b - a], np.uint32), keys[here], sizes[here], back.astype(wide), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((t >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)]
-                    yield pa.record_batch([pa.array([self.numbers[p]], pa.int32()), pa.array([b"".join(x.tobytes() for x in body)], pa.binary())], schema=_SCHEMA)
-        self.seen, self.sizes, self.tokens, self.held = {}, [], [], 0
-
-
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(payload, np.uint32, 2)
-    at = 8
-    keys = np.frombuffer(payload, np.int64, n, at)
-    sizes = np.frombuffer(payload, np.uint32, n, at := at + 8 * int(n))
-    at += 4 * int(n)
-    wide = np.uint32 if n > 65535 else np.uint16
-    own = np.frombuffer(payload, wide, m, at)
-    at += own.nbytes
-    low = np.frombuffer(payload, np.uint32, m, at)
-    high = np.frombuffer(payload, np.uint8, m, at + low.nbytes)
-    return keys, sizes, own, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+                    steps = np.diff(at[a:b], prepend=0)
+                    starts = np.cumsum(counts) - counts
+                    steps[starts] = at[a:b][starts]
+                    times = _small([counts, steps] if self.placed else [counts])
+                    head = np.array([len(here), b - a, len(times)], np.uint32).tobytes() + _named(keys[here])
+                    body = [(t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((t >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes()]
+                    yield pa.record_batch([pa.array([self.numbers[p]], pa.int32()), pa.array([b"".join([head, *body, times])], pa.binary())], schema=_SCHEMA)
+        self.seen, self.held = {}, 0
+
+
+def _unpack(payload: bytes, placed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`(keys, owner of each token, tokens, places)`."""
+    n, m, size = (int(x) for x in np.frombuffer(payload, np.uint32, 3))
+    keys, at = _names(payload, n, 12)
+    low, high = np.frombuffer(payload, np.uint32, m, at), np.frombuffer(payload, np.uint8, m, at + 4 * m)
+    counts, *steps = (x.astype(np.int64) for x in _large(payload[len(payload) - size :], [n, m] if placed else [n]))
+    own, places = np.repeat(np.arange(n), counts), np.zeros(m, np.int32)
+    if placed:
+        total, starts = np.cumsum(steps[0]), np.cumsum(counts) - counts
+        places = (total - np.repeat(total[starts] - steps[0][starts], counts)).astype(np.int32)
+    return keys, own, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), places
+
+
+def pack_pairs(keys: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, proof: np.ndarray) -> bytes:
+    """Pairs `a < b` of places in `keys`, sorted by a, then b, with their counts and whether there is evidence."""
+    here, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = back[: len(a)], back[len(a) :]
+    fresh = np.concatenate([[True], x[1:] != x[:-1]])
+    ahead = y - np.where(fresh, x, np.concatenate([[0], y[:-1]]))
+    return np.array([len(here), len(a)], np.uint32).tobytes() + _named(keys[here]) + _small([np.diff(x, prepend=0), ahead, counts, proof])
+
+
+def unpack_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(payload, np.uint32, 2))
+    keys, at = _names(payload, n, 8)
+    step, ahead, counts, proof = (x.astype(np.int64) for x in _large(payload[at:], [m] * 4))
+    a, total = np.cumsum(step), np.cumsum(ahead)
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    base = a[starts] + ahead[starts] - total[starts]
+    return keys, a, total + np.repeat(base, np.diff(np.append(starts, m))), counts, proof
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of `n` nodes the smallest node that edges `(a, b)` lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        for end in (label[a], label[b], a, b):
+            np.minimum.at(label, end, low)
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+        if np.array_equal(before, label):
+            return label
 
 
 class _Counter:
@@ -105,13 +174,16 @@ class _Counter:
         return codes, counts
 
 
-def _run_pairs(tok: np.ndarray, own: np.ndarray, sizes: np.ndarray, ratio: float, counter: _Counter, width: int) -> None:
-    """Pairs of owners of equal tokens with the smaller size at least `ratio` of the larger; owners are by size."""
+def _run_pairs(tok: np.ndarray, own: np.ndarray, places: np.ndarray, sizes: np.ndarray, ratio: float, evident: Callable | None, counter: _Counter, width: int) -> None:
+    """Pairs of owners of equal tokens with the smaller size at least `ratio` of the larger; owners are by size.
+
+    A pair is counted as twice its number, and one more where the token is evidence.
+    """
     order = np.lexsort((own, tok))
-    tok, own = tok[order], own[order]
+    tok, own, places = tok[order], own[order], places[order]
     fresh = np.ones(len(tok), bool)
     fresh[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])  # an owner packed by several tasks counts once
-    tok, own = tok[fresh], own[fresh].astype(np.int64)
+    tok, own, places = tok[fresh], own[fresh].astype(np.int64), places[fresh]
     edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]])) if len(tok) else np.zeros(1, np.int64)
     length = np.diff(edge)
     many = length > 1
@@ -134,93 +206,102 @@ def _run_pairs(tok: np.ndarray, own: np.ndarray, sizes: np.ndarray, ratio: float
             b = a + 1 + np.arange(len(a)) - np.repeat(lead, after[begin:end])
             x, y = own[a], own[b]
             fits = sizes[x] >= ratio * sizes[y] - 1e-9
-            counter.add(x[fits] * width + y[fits])
+            x, y = x[fits], y[fits]
+            proof = 1 if evident is None else evident(sizes[x], sizes[y], places[a[fits]], places[b[fits]])
+            counter.add((x * width + y) * 2 + proof)
         begin = end
 
 
-def _count(numbers: list[int], ratio: float):
+def _count(numbers: list[int], ratio: float, size_of: Callable[[np.ndarray], np.ndarray], evident: Callable | None):
     marks = np.array(numbers, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(p.as_buffer().to_pybytes()) for b in batches for p in b.column(1)]
+        parts = [_unpack(p.as_buffer().to_pybytes(), evident is not None) for b in batches for p in b.column(1)]
         if not parts:
             return
         keys = np.concatenate([p[0] for p in parts])
-        sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        shift = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-        own = np.concatenate([p[2].astype(np.int64) + s for p, s in zip(parts, shift)])
-        tok = np.concatenate([p[3] for p in parts])
+        shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+        own = np.concatenate([p[1] + s for p, s in zip(parts, shift)])
+        tok, places = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
         del parts
-        order = np.lexsort((keys, sizes))  # the same order of keys in all tasks: by size, then key
-        ordered = keys[order]
-        rank = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        of = np.empty(len(keys), np.int64)
-        of[order] = rank
-        width = int(rank[-1]) + 1
-        key_of, size_of = np.empty(width, np.int64), np.empty(width, np.int64)
-        key_of[of], size_of[of] = keys, sizes
+        key_of, of = np.unique(keys, return_inverse=True)
+        order = np.lexsort((key_of, size_of(key_of)))  # the same order of keys in all tasks: by size, then key
+        key_of = key_of[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        width = len(key_of)
         counter = _Counter()
-        _run_pairs(tok, of[own], size_of, ratio, counter, width)
+        _run_pairs(tok, place[of[own]], places, size_of(key_of), ratio, evident, counter, width)
         codes, counts = counter.total()
+        proof, codes = codes & 1, codes >> 1
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+        if len(codes):
+            codes, counts, proof = codes[first], np.add.reduceat(counts, first), np.maximum.reduceat(proof, first)
         a, b = codes // width, codes % width
         part = (key_of[a].astype(np.uint64) % np.uint64(1000003)).astype(np.int64) % len(marks)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(len(marks) + 1))
         for p, (s, e) in enumerate(zip(edges, edges[1:])):
-            if e > s:
-                own = order[s:e]
-                here, back = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
-                body = [np.array([len(here), e - s], np.uint32), key_of[here], size_of[here].astype(np.uint32), back.astype(np.uint32), counts[own].astype(np.uint32)]
-                yield pa.record_batch([pa.array([marks[p]], pa.int32()), pa.array([b"".join(x.tobytes() for x in body)], pa.binary())], schema=_SCHEMA)
+            for i in range(s, e, 1 << 22):
+                own = order[i : min(e, i + (1 << 22))]
+                yield pa.record_batch([pa.array([marks[p]], pa.int32()), pa.array([pack_pairs(key_of, a[own], b[own], counts[own], proof[own])], pa.binary())], schema=_SCHEMA)
 
     return run
 
 
-def _add_up(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+def _add_up(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size_of: Callable[[np.ndarray], np.ndarray], edges_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            for p in b.column(1):
-                raw = p.as_buffer().to_pybytes()
-                n, m = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
-                pairs = np.frombuffer(raw, np.uint32, 2 * m, 8 + 12 * n).astype(np.int64)
-                parts.append((np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64), pairs, np.frombuffer(raw, np.uint32, m, 8 + 12 * n + 8 * m).astype(np.int64)))
+        parts = [unpack_pairs(p.as_buffer().to_pybytes()) for b in batches for p in b.column(1)]
         if not parts:
             return
-        keys, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-        sizes = np.concatenate([p[1] for p in parts])[first]
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        keys = np.unique(np.concatenate([p[0] for p in parts]))
+        sizes = size_of(keys)
+        codes, counts, proofs = (np.zeros(0, np.int64) for _ in range(3))
+        pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            c = np.concatenate([codes, *(x for x, _ in pending)])
-            n = np.concatenate([counts, *(y for _, y in pending)])
-            found, back = np.unique(c, return_inverse=True)
-            return found, np.bincount(back, weights=n, minlength=len(found)).astype(np.int64)
+        def merge() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            found, back = np.unique(np.concatenate([codes, *(x[0] for x in pending)]), return_inverse=True)
+            sums = [np.bincount(back, weights=np.concatenate([y, *(x[i] for x in pending)]), minlength=len(found)).astype(np.int64) for i, y in ((1, counts), (2, proofs))]
+            return found, *sums
 
         while parts:
-            k, _, pairs, n = parts.pop()
+            k, a, b, n, proof = parts.pop()
             of = np.searchsorted(keys, k)
-            m = len(n)
-            pending.append((of[pairs[:m]] * len(keys) + of[pairs[m:]], n))
-            held += m
+            pending.append((of[a] * len(keys) + of[b], n, proof))
+            held += len(n)
             if held > 1 << 21:
-                codes, counts = merge()
+                codes, counts, proofs = merge()
                 pending, held = [], 0
-        codes, counts = merge()
+        codes, counts, proofs = merge()
         a, b = codes // len(keys), codes % len(keys)
-        good = keep(sizes[a], sizes[b], counts)
+        good = (proofs > 0) & keep(sizes[a], sizes[b], counts)
         a, b, counts = a[good], b[good], counts[good]
-        for i in range(0, len(a), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            yield pa.record_batch([pa.array(keys[a[s]]), pa.array(keys[b[s]]), pa.array(counts[s])], schema=_PAIRS)
+        if edges_only:
+            low = forest(len(keys), a, b)
+            node = np.flatnonzero(low != np.arange(len(keys)))
+            columns, schema = [keys[node], keys[low[node]]], _EDGES
+        else:
+            columns, schema = [keys[a], keys[b], counts], _PAIRS
+        for i in range(0, len(columns[0]), 1 << 16):
+            yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in columns], schema=schema)
 
     return run
 
 
-def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Callable) -> DataFrame:
-    """`(key_a, key_b, shared)`, each pair of keys once, where `keep(size_a, size_b, shared)` holds."""
+def no_size(keys: np.ndarray) -> np.ndarray:
+    return np.zeros(len(keys), np.int64)
+
+
+def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Callable, size_of: Callable = no_size, evident: Callable | None = None, edges_only: bool = False) -> DataFrame:
+    """`(key_a, key_b, shared)`, each pair of keys once, where `keep(size_a, size_b, shared)` holds.
+
+    With `evident(size_a, size_b, place_a, place_b)` it must hold for one of the shared tokens; tokens are then packed
+    with their places.
+
+    With `edges_only`, `(a, b)` edges that link the same keys as those pairs do, no more than keys in each task.
+    """
     parts = len(numbers)
-    counted = packed.repartition(parts, "bucket").mapInArrow(_count(numbers, ratio), PACKED)
-    return counted.repartition(parts, "bucket").mapInArrow(_add_up(keep), "key_a bigint, key_b bigint, shared bigint")
+    counted = packed.repartition(parts, "bucket").mapInArrow(_count(numbers, ratio, size_of, evident), PACKED)
+    out = "a bigint, b bigint" if edges_only else "key_a bigint, key_b bigint, shared bigint"
+    return counted.repartition(parts, "bucket").mapInArrow(_add_up(keep, size_of, edges_only), out)

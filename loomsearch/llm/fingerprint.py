@@ -90,7 +90,7 @@ def _pack(numbers: list[int]):
             for key, block, sig, sig2 in zip(*(c.to_pylist() for c in b.columns)):
                 grams = _gram_tokens(block, sig) | _gram_tokens(2 * block, sig2)
                 if grams:
-                    packer.add(key, 1, np.fromiter(grams, np.uint64, len(grams)))
+                    packer.add(key, np.fromiter(grams, np.uint64, len(grams)))
                 if packer.full():
                     yield from packer.flush()
         yield from packer.flush()

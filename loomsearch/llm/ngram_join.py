@@ -3,8 +3,13 @@
 A document is the set of its n-grams of words. In one global order of grams (rare before frequent, by a count sketch)
 two sets with Jaccard similarity of `t` or more share a gram within their prefixes of size - ceil(t * size) + 1 grams.
 Documents with the same prefix and size form one group, known by a hash of both; groups are paired over their prefix
-grams. A pair of groups of sizes x and y goes on only if the shared prefix grams, with all that may lie behind the
-prefixes, can reach the overlap t / (1 + t) * (x + y). Its members, by distinct gram sets, are then compared in full.
+grams. A pair of groups of sizes x and y stays only if the shared prefix grams, with all that may lie behind the
+prefixes, can reach the overlap need = t / (1 + t) * (x + y), and one of them is among the first x - need + 1 and
+y - need + 1 grams.
+
+Groups that such pairs link are expanded together: each distinct gram set of their members goes once, with the ids of
+its documents, to the block of its component, where all pairs are verified on the full sets. So the pairs themselves
+are never moved, only edges that link the same groups. A large component is cut into parts, with a block for each two.
 """
 
 from __future__ import annotations
@@ -20,9 +25,13 @@ from pyspark.sql import functions as F
 
 from loomsearch.llm import _pairs, _shared, _words
 
-_GROUPS = pa.schema([("doc_id", pa.int64()), ("group", pa.int64()), ("set", pa.int64())])
+_GROUPS = pa.schema([("doc_id", pa.int64()), ("group", pa.int64()), ("set", pa.int64()), ("size", pa.int64())])
 _SETS = pa.schema([("set", pa.int64()), ("grams", pa.binary())])
-_OUT = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("jaccard", pa.float64())])
+_OUT = pa.schema([("docs_a", pa.list_(pa.int64())), ("docs_b", pa.list_(pa.int64())), ("jaccard", pa.float64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_SIZE = (1 << 20) - 1  # the low bits of a group's name are its size, as far as they go
+PART_SETS, PART_BYTES = 1024, 16 << 20  # of a block
+TILE, SLAB = 256, 8192
 
 
 def _hash(*parts: bytes) -> int:
@@ -77,17 +86,20 @@ def gram_sets(texts: pa.Array, n: int, grades: np.ndarray) -> Iterator[tuple[int
 
 def _group_of(grams: np.ndarray, t: float) -> tuple[int, np.ndarray]:
     prefix = grams[: int(prefix_size(np.array(len(grams)), t))]
-    return _hash(len(grams).to_bytes(8, "little"), prefix.tobytes()), prefix
+    return _hash(len(grams).to_bytes(8, "little"), prefix.tobytes()) & ~_SIZE | min(len(grams), _SIZE), prefix
+
+
+def _size_of(groups: np.ndarray) -> np.ndarray:
+    return groups & _SIZE
 
 
 def _prefixes(n: int, t: float, grades, numbers: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _pairs.Packer(numbers)
+        packer = _pairs.Packer(numbers, placed=True)
         for b in batches:
             for _, grams in gram_sets(b.column(0), n, grades.value):
                 if len(grams):
-                    group, prefix = _group_of(grams, t)
-                    packer.add(group, len(grams), prefix)
+                    packer.add(*_group_of(grams, t))
                     if packer.full():
                         yield from packer.flush()
         yield from packer.flush()
@@ -99,17 +111,69 @@ def _groups(n: int, t: float, grades):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows = [(ids[i], _group_of(g, t)[0], _hash(g.tobytes())) for i, g in gram_sets(b.column(1), n, grades.value) if len(g)]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 3, _GROUPS)], schema=_GROUPS)
+            rows = [(ids[i], _group_of(g, t)[0], _hash(g.tobytes()), len(g)) for i, g in gram_sets(b.column(1), n, grades.value) if len(g)]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 4, _GROUPS)], schema=_GROUPS)
 
     return run
 
 
-def _sets(n: int, grades):
+def _places(sets: np.ndarray, reps: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bits of a Bloom filter for a set and the document that stands for it."""
+    x = _words.mix(sets.astype(np.int64).view(np.uint64) ^ _words.mix(reps.astype(np.int64).view(np.uint64)))
+    return [((x >> np.uint64(16 * i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64) for i in range(3)]
+
+
+def _bits(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, bool)
         for b in batches:
-            rows = [(_hash(g.tobytes()), g.tobytes()) for _, g in gram_sets(b.column(0), n, grades.value)]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 2, _SETS)], schema=_SETS)
+            for at in _places(b.column(0).to_numpy(), b.column(1).to_numpy(), bits):
+                held[at] = True
+        at = np.flatnonzero(held) // 64
+        words = np.packbits(held, bitorder="little").view(np.int64)
+        at = np.unique(at)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(words[at])], names=["at", "word"])
+
+    return run
+
+
+def wanted_filter(wanted: DataFrame, most: int = 27) -> np.ndarray:
+    """Bloom filter of `(set, rep)` rows, of 2**`most` bits at most; beyond, more sets pass it that a join then drops."""
+    bits = int(np.clip(math.ceil(math.log2(max(wanted.count(), 1) * 12)), 10, most))
+    found = wanted.mapInArrow(_bits(bits), "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros((1 << bits) // 64, np.int64)
+    words[found["at"].to_numpy()] = found["word"].to_numpy()
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _short(grams: np.ndarray) -> bytes:
+    """48 bits of each gram, which tell the grams of two sets apart."""
+    return (grams & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def _sets(n: int, grades, wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = wanted.value
+        bits = len(held).bit_length() - 1
+        for b in batches:
+            ids, names, grams_of = b.column(0).to_numpy(), [], []
+            rows = []
+            for i, g in gram_sets(b.column(1), n, grades.value):
+                if len(g):
+                    names.append(_hash(g.tobytes()))
+                    grams_of.append(g)
+                    rows.append(ids[i])
+            if not names:
+                continue
+            places = _places(np.array(names, np.int64), np.array(rows, np.int64), bits)
+            passed = np.flatnonzero(held[places[0]] & held[places[1]] & held[places[2]])
+            yield pa.record_batch([pa.array([names[i] for i in passed], pa.int64()), pa.array([_short(grams_of[i]) for i in passed], pa.binary())], schema=_SETS)
 
     return run
 
@@ -122,34 +186,110 @@ def _reaches(t: float):
     return keep
 
 
-def _verify(t: float):
-    """Rows come by block: first its sets (grams not null), then its pairs."""
+def _evident(t: float):
+    """Sets with an overlap of `need` share a gram among the first size - need + 1 of both."""
+
+    def holds(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        need = np.ceil(t / (1 + t) * (x + y) - 1e-9)
+        return (i <= x - need) & (j <= y - need) | (x == _SIZE) | (y == _SIZE)
+
+    return holds
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, as products of 0-1 matrices over the grams that both have."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    a, b = np.concatenate(x), np.concatenate(y)
+    own_a, own_b = (np.repeat(np.arange(len(s)), [len(g) for g in s]) for s in (x, y))
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return out
+
+    def placed(g: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, g), len(both) - 1)
+        hit = both[at] == g
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], own[hit][order]
+
+    (col_a, own_a), (col_b, own_b) = placed(a, own_a), placed(b, own_b)
+    for low in range(0, len(both), SLAB):
+        width = min(SLAB, len(both) - low)
+        m = []
+        for col, own, n in ((col_a, own_a, len(x)), (col_b, own_b, len(y))):
+            s, e = np.searchsorted(col, (low, low + width))
+            one = np.zeros((n, width), np.float32)
+            one[own[s:e], col[s:e] - low] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out
+
+
+def similar(sets: list[np.ndarray], side: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """`(i, j, jaccard)` of the similar ones among sets ordered by size; where `side` is -1 or 1, one of either."""
+    sizes = np.array([len(s) for s in sets])
+    cross = side.any()
+    for i in range(0, len(sets), TILE):
+        for j in range(i, len(sets), TILE):
+            if sizes[min(i + TILE, len(sets)) - 1] < t * sizes[j] - 1e-9:
+                break
+            shared = overlaps(sets[i : i + TILE], sets[j : j + TILE])
+            x, y = sizes[i : i + TILE, None], sizes[None, j : j + TILE]
+            good = shared >= t * (x + y - shared) - 1e-6
+            if i == j:
+                good &= np.arange(good.shape[0])[:, None] < np.arange(good.shape[1])[None, :]
+            if cross:
+                good &= side[i : i + TILE, None] != side[None, j : j + TILE]
+            a, b = np.nonzero(good)
+            if len(a):
+                n = shared[a, b].astype(np.float64)
+                yield i + a, j + b, n / (sizes[i + a] + sizes[j + b] - n)
+
+
+def _verify(t: float, edges_only: bool):
+    """Rows come by block and size: `(block, side, set, grams, docs)`."""
+
+    def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sets, names = [_long(r[3]) for r in rows], np.array([r[2] for r in rows], np.int64)
+        for s in sets:
+            s.sort()
+        found = similar(sets, np.array([r[1] for r in rows]), t)
+        if edges_only:
+            pairs = [(i, j) for i, j, _ in found]
+            if pairs:
+                low = _pairs.forest(len(rows), np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs]))
+                node = np.flatnonzero(low != np.arange(len(rows)))
+                yield pa.record_batch([pa.array(names[node]), pa.array(names[low[node]])], schema=_LINKS)
+            return
+        docs = pa.array([r[4] for r in rows], pa.list_(pa.int64()))
+        rank = np.empty(len(rows), np.int64)
+        rank[sorted(range(len(rows)), key=lambda i: rows[i][4])] = np.arange(len(rows))
+        width = max(len(r[4]) for r in rows)
+        for i, j, jaccard in found:
+            ahead = rank[i] < rank[j]
+            first, second = np.where(ahead, i, j), np.where(ahead, j, i)
+            step = max(1, (1 << 20) // width)
+            for k in range(0, len(first), step):
+                part = slice(k, k + step)
+                yield pa.record_batch([docs.take(pa.array(first[part])), docs.take(pa.array(second[part])), pa.array(np.round(jaccard[part], 6))], schema=_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sets = None, {}
+        here, rows = None, []
         for b in batches:
-            out: list[tuple[int, int, float]] = []
-            for here, a, other, grams in zip(*(c.to_pylist() for c in b.columns)):
-                if here != block:
-                    block, sets = here, {}
-                if grams is not None:
-                    sets[a] = np.frombuffer(grams, np.uint64)
-                    continue
-                x, y = sets[a], sets[other]
-                if min(len(x), len(y)) < t * max(len(x), len(y)) - 1e-9:
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                if shared >= t * (len(both) - shared) - 1e-9:
-                    out.append((a, other, round(shared / (len(both) - shared), 6)))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 3, _OUT)], schema=_OUT)
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != here:
+                    yield from solved(rows) if rows else ()
+                    here, rows = row[0], []
+                rows.append(row)
+        yield from solved(rows) if rows else ()
 
     return run
 
 
-def similar_sets(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """`(set, docs)` of all distinct gram sets, and `(set_a, set_b, jaccard)` of the similar ones."""
+def similar_sets(docs: DataFrame, t: float, n: int, edges_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """`(set, docs)` of all distinct gram sets, and `(docs_a, docs_b, jaccard)` of the similar ones.
+
+    With `edges_only` the latter are `(a, b)` edges between sets that link the same sets as the similar pairs do.
+    """
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
     spark = docs.sparkSession
@@ -157,31 +297,31 @@ def similar_sets(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFram
     grades = spark.sparkContext.broadcast(gram_grades(texts, n))
     numbers = _pairs.buckets(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = texts.select("text").mapInArrow(_prefixes(n, t, grades, numbers), _pairs.PACKED)
-    groups = _shared.cut(_pairs.sharing_pairs(packed, numbers, t, _reaches(t)).select("key_a", "key_b"))
-
-    members = _shared.cut(texts.mapInArrow(_groups(n, t, grades), "doc_id bigint, group bigint, set bigint"))
-    sets = members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("group").alias("group"), F.sort_array(F.collect_set("doc_id")).alias("docs"))
-    distinct = _shared.cut(members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("group").alias("group")))
-    # expansion: pairs of sets from two groups, and from one group where its members differ behind the prefix
-    left = distinct.select(F.col("group").alias("key_a"), F.col("set").alias("set_a"))
-    right = distinct.select(F.col("group").alias("key_b"), F.col("set").alias("set_b"))
-    mixed = distinct.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("key_a"), F.col("group").alias("key_b"))
-    cross = groups.unionByName(mixed).join(left, "key_a").join(right, "key_b").where("key_a <> key_b or set_a < set_b").select("set_a", "set_b")
-    pairs = _shared.cut(cross)
-
-    # each pair is verified in a block named by the smallest set next to it, so sets of one cluster travel together
-    ends = pairs.unionByName(pairs.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
-    least = ends.groupBy("set_a").agg(F.min("set_b").alias("low")).select("set_a", F.least("set_a", "low").alias("low"))
-    blocked = pairs.join(least, "set_a").join(least.select(F.col("set_a").alias("set_b"), F.col("low").alias("low_b")), "set_b").select(F.least("low", "low_b").alias("block"), "set_a", "set_b")
-    blocked = _shared.cut(blocked)
-    needs = blocked.select("block", F.col("set_a").alias("set")).unionByName(blocked.select("block", F.col("set_b").alias("set"))).distinct()
-    wanted = distinct.join(needs.select("set").distinct(), "set").select(F.col("rep").alias("doc_id"))
-    chosen = texts.join(wanted.distinct(), "doc_id", "left_semi").select("text")
-    full = chosen.mapInArrow(_sets(n, grades), "set bigint, grams binary").dropDuplicates(["set"])
-    rows = needs.join(full, "set").select("block", F.col("set").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    rows = rows.unionByName(blocked.select("block", F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.lit(None).cast("binary").alias("grams")))
-    verified = rows.repartition("block").sortWithinPartitions("block", F.col("b").isNotNull()).mapInArrow(_verify(t), "set_a bigint, set_b bigint, jaccard double")
-    return sets.select("set", "docs"), verified
+    edges = _shared.cut(_pairs.sharing_pairs(packed, numbers, t, _reaches(t), _size_of, _evident(t), edges_only=True))
+    linked = components(edges, edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
+
+    members = texts.mapInArrow(_groups(n, t, grades), "doc_id bigint, group bigint, set bigint, size bigint")
+    gathered = members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("group").alias("group"), F.min("size").alias("size"), F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    sets = _shared.cut(gathered)
+
+    # expansion: the sets of linked groups, and of one group where its members differ behind the prefix, by component
+    placed = sets.select("set", "rep", "group", "size").join(linked.withColumnRenamed("node", "group"), "group", "left").withColumn("component", F.coalesce("component", "group"))
+    loads = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / PART_SETS), F.ceil(F.col("grams") * 6 / PART_BYTES))
+    chosen = _shared.cut(placed.join(loads.select("component", parts.alias("parts")), "component").select("set", "rep", "component", "parts"))
+    wanted = spark.sparkContext.broadcast(wanted_filter(chosen.select("set", "rep")))
+    full = texts.mapInArrow(_sets(n, grades, wanted), "set bigint, grams binary").dropDuplicates(["set"])
+    own = F.pmod(F.xxhash64("set"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")
+    spread = chosen.select("set", "component", own.alias("own"), other)
+    block = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("block")
+    held = full.join(spread.select(block, F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "set"), "set")
+    if edges_only:
+        rows = held.select("block", "side", "set", "grams", F.lit(None).cast("array<bigint>").alias("docs"))
+    else:
+        rows = held.join(sets.select("set", "docs"), "set").select("block", "side", "set", "grams", "docs")
+    by_block = rows.repartition("block").sortWithinPartitions("block", F.length("grams"))
+    return sets.select("set", "docs"), by_block.mapInArrow(_verify(t, edges_only), "a bigint, b bigint" if edges_only else "docs_a array<bigint>, docs_b array<bigint>, jaccard double")
 
 
 def jaccard_join(docs: DataFrame, t: float = 0.6, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,17 +333,41 @@ def jaccard_join(docs: DataFrame, t: float = 0.6, n: int = 3, id_col: str = "doc
     partner. Rows with one id and equal texts count as one document; with different texts, the id may be in several
     lists. Other columns are ignored.
     """
-    sets, similar = similar_sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), t, n)
-    sets, similar = _shared.cut(sets), _shared.cut(similar)
+    sets, found = similar_sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), t, n)
     same = sets.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    a = sets.select(F.col("set").alias("set_a"), F.col("docs").alias("a"))
-    b = sets.select(F.col("set").alias("set_b"), F.col("docs").alias("b"))
-    both = similar.join(a, "set_a").join(b, "set_b")
-    return same.unionByName(both.select(F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("b")).alias("docs_a"), F.when(F.col("a") < F.col("b"), F.col("b")).otherwise(F.col("a")).alias("docs_b"), "jaccard"))
+    return same.unionByName(found)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    ends = np.concatenate([c.to_numpy() for b in parts for c in b.columns])
+    cut = np.cumsum([b.num_rows for b in parts for _ in b.columns])[:-1]
+    split = np.split(ends, cut)
+    nodes, at = np.unique(np.concatenate([*split[::2], *split[1::2]]), return_inverse=True)
+    half = len(at) // 2
+    low = _pairs.forest(len(nodes), at[:half], at[half:])
+    node = np.flatnonzero(low != np.arange(len(nodes)))
+    yield pa.record_batch([pa.array(nodes[node]), pa.array(nodes[low[node]])], schema=_LINKS)
+
+
+def components(edges: DataFrame, nodes: DataFrame, most_local: int = 1 << 22) -> DataFrame:
+    """`(node, component)`: the smallest node reached over `(a, b)` edges.
+
+    Every task first reduces its edges to a forest. If all forests together are of `most_local` edges at most, one
+    task joins them; beyond that, large-star and small-star rounds do.
+    """
+    links = _shared.cut(edges.where("a <> b").mapInArrow(_forest, "a bigint, b bigint"))
+    if links.count() <= most_local:
+        found = links.coalesce(1).mapInArrow(_forest, "a bigint, b bigint").withColumnsRenamed({"a": "_a", "b": "_b"})
+    else:
+        found = _stars(links).withColumnsRenamed({"a": "_a", "low": "_b"})
+    return nodes.join(found, F.col("node") == F.col("_a"), "left").select("node", F.coalesce("_b", "node").alias("component"))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`(node, component)`: the smallest node reached over `(a, b)` edges, by large-star and small-star rounds."""
+def _stars(edges: DataFrame) -> DataFrame:
+    """`(a, low)` for nodes that aren't the smallest of their component."""
     links = _shared.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -218,8 +382,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    found = links.groupBy("a").agg(F.min("b").alias("low"))
-    return nodes.join(found, nodes["node"] == found["a"], "left").select("node", F.coalesce("low", "node").alias("component"))
+    return links.groupBy("a").agg(F.min("b").alias("low"))
 
 
 def drop_near_duplicates(docs: DataFrame, t: float = 0.6, n: int = 3) -> DataFrame:
@@ -228,13 +391,13 @@ def drop_near_duplicates(docs: DataFrame, t: float = 0.6, n: int = 3) -> DataFra
     Groups are the connected components of the join. Rows with a null id, and texts without words, stay. Of rows with
     equal ids and texts in a group, all stay or go together.
     """
-    sets, similar = similar_sets(docs, t, n)
-    sets = _shared.cut(sets.select("set", F.array_min("docs").alias("first"), "docs"))
-    groups = components(similar.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")), sets.select(F.col("set").alias("node")))
-    lead = sets.join(groups, sets["set"] == groups["node"]).select("component", "first", F.explode("docs").alias("_id"))
+    sets, edges = similar_sets(docs, t, n, edges_only=True)
+    sets = sets.select("set", F.array_min("docs").alias("first"), "docs")
+    groups = components(edges, sets.select(F.col("set").alias("node")))
+    lead = sets.join(groups, sets["set"] == groups["node"]).select("component", "first", F.explode("docs").alias("_loom_id"))
     best = lead.groupBy("component").agg(F.min("first").alias("lead"))
-    lost = lead.join(best, "component").where(F.col("_id") != F.col("lead")).select("_id").distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_id"), "left_anti")
+    lost = lead.join(best, "component").where(F.col("_loom_id") != F.col("lead")).select("_loom_id").distinct()
+    return docs.join(lost, F.col("doc_id") == F.col("_loom_id"), "left_anti")
 
 
 ORACLE = r"""
