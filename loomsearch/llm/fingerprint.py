@@ -113,8 +113,8 @@ def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     found = fingerprints(docs, id_col, text_col).where(F.length("sig") >= GRAM)
-    keyed = found.groupBy("block", "sig", "sig2").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).withColumn("key", F.xxhash64("block", "sig", "sig2"))
-    classes = _shared.cut(keyed)
+    keyed = found.groupBy("block", "sig", "sig2").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).withColumn("key", F.monotonically_increasing_id())
+    classes = _shared.cut(keyed)  # only once this is written are the numbers of the classes fixed
     numbers = _pairs.buckets(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = classes.select("key", "block", "sig", "sig2").mapInArrow(_pack(numbers), _pairs.PACKED)
     pairs = _pairs.sharing_pairs(packed, numbers, 0.0, _all).select("key_a", "key_b")
