@@ -19,7 +19,7 @@ def column(spark, values, f):
 STREAMS = {
     "HTTPSConnection": ["httpsconnection", "https", "connection"],
     "camelCase": ["camelcase", "camel", "case"],
-    "repo_reaper": ["repo_reaper", "reporeaper", "repo", "reaper"],
+    "doc_reader": ["doc_reader", "docreader", "doc", "reader"],
     "parse2Json": ["parse2json", "parse", "2", "json"],
     "BM25Score": ["bm25score", "bm", "25", "score"],
     "query-id": ["query-id", "queryid", "query", "id"],
