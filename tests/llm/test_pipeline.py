@@ -9,7 +9,7 @@ from loomsearch.llm import queries
 def tables(spark, docs_of, folder, odd_rows):
     r = random.Random(4)
     good, bad = [f"good{c}" for c in "abcdefghijklmnopqrstuvwxyz"], [f"junk{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
-    rows = [(i, " ".join(r.choice(good if i % 4 else bad) + chr(97 + r.randrange(26)) for _ in range(50))) for i in range(200)]
+    rows = [(i, " ".join(r.choice(good if i % 4 else bad) for _ in range(50))) for i in range(200)]
     rows += [(300 + i, rows[1][1] + f" tail{i}") for i in range(5)]
     rows += [(400 + i, f"{rows[5 + 4 * i][1]}\nRead page {i} of the whole story here") for i in range(12)]
     rows.append((500, rows[2][1] + " " + "benchmark words that must never be seen in the training text at all here"))
