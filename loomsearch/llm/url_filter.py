@@ -9,8 +9,10 @@ and rules are cut at the same key boundaries, sorted, and swept once with a stac
 
 from __future__ import annotations
 
+import csv
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -144,6 +146,13 @@ def default_rules(spark) -> DataFrame:
     return spark.createDataFrame(DEFAULT_RULES, "rule_id bigint, pattern string, action string")
 
 
+def listed_rules(spark, path: Path | str = Path(__file__).with_name("url_lists.csv")) -> DataFrame:
+    """`(rule_id, pattern, action, category)` of a CSV file with these columns; the file of this package by default."""
+    with open(path, newline="", encoding="utf-8") as f:
+        rows = [(int(r["rule_id"]), r["pattern"], r["action"], r["category"]) for r in csv.DictReader(f)]
+    return spark.createDataFrame(rows, "rule_id bigint, pattern string, action string, category string")
+
+
 _SQL_KEY = r"""
   (SELECT array_to_string(list_reverse(string_split(host, '.')), ',') || ',)' || CASE WHEN tail = '' THEN '/' WHEN starts_with(tail, '?') THEN '/' || tail ELSE tail END
    FROM (SELECT regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')), '^www\.', '') AS host, substr(rest, length(authority) + 1) AS tail

@@ -1,6 +1,6 @@
 import random
 
-from loomsearch.llm import url_filter
+from loomsearch.llm import queries, url_filter
 
 
 def key_of(spark, urls, f):
@@ -38,3 +38,18 @@ def test_empty(spark):
     assert url_filter.filter_urls(p, url_filter.default_rules(spark)).count() == 0
     one = spark.createDataFrame([(1, "http://a.b/")], "page_id bigint, url string")
     assert url_filter.filter_urls(one, url_filter.default_rules(spark).limit(0)).collect()[0]["action"] == "allow"
+
+
+def test_lists_block_unwanted_pages_only(spark, tmp_path):
+    unwanted = ["http://m.casino-win.example.com/en/4", "https://free-bets.example.net/x", "http://www.cheap-pills.example.org/", "http://blog.adult-x.example.com/", "https://ads-track.example.com/a?b", "http://spam-farm.example.org/en/1", "https://de.pornhub.com/v", "http://a.casino/", "https://www.reddit.com/r/nsfw/top", "https://www.facebook.com/tr?id=1"]
+    wanted = ["http://ththre.example.com/fr/8", "https://www.example.org/", "http://tionsh.example.net/fr/2", "https://www.reddit.com/r/python/", "https://casino-winner.example.com/", "https://notpornhub.com/", "https://www.facebook.com/trees", None]
+    pages = [(i, u) for i, u in enumerate(unwanted + wanted)]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["action"] for r in queries.QUERIES["url_lists"](spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if i < len(unwanted) else "allow" for i, _ in pages}
+
+
+def test_lists_hold_each_pattern_once(spark):
+    rules = url_filter.listed_rules(spark).collect()
+    assert len({r["pattern"] for r in rules}) == len({r["rule_id"] for r in rules}) == len(rules)
+    assert {r["action"] for r in rules} == {"block"} and all(r["category"] for r in rules)
