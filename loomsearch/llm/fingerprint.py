@@ -21,7 +21,7 @@ from loomsearch.llm import _pairs, _shared, _words
 
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LONG, SHORT, GRAM = 64, 32, 7
-_OUT = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("sig", pa.string()), ("sig2", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("sig", pa.string()), ("sig2", pa.string()), ("whole", pa.int64())])
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -68,15 +68,22 @@ def squeezed(sig: str) -> str:
     return "".join(c for i, c in enumerate(sig) if i < 3 or not c == sig[i - 1] == sig[i - 2] == sig[i - 3])
 
 
+def _whole(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(d, f[0], squeezed(f[1]), squeezed(f[2])) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (f := fingerprint(t))]
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 4, _OUT)], schema=_OUT)
+        rows = [(d, f[0], s := squeezed(f[1]), squeezed(f[2]), _whole(t) if len(s) < GRAM else None) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (f := fingerprint(t))]
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 5, _OUT)], schema=_OUT)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, block, sig, sig2)` of each row with an id and a text that isn't empty."""
-    return _shared.narrow(docs, id_col, text_col).mapInArrow(_scan, "doc_id bigint, block bigint, sig string, sig2 string")
+    """`(doc_id, block, sig, sig2, whole)` of each row with an id and a text that isn't empty.
+
+    `whole` is a hash of the text where the signature has under seven characters, else null.
+    """
+    return _shared.narrow(docs, id_col, text_col).mapInArrow(_scan, "doc_id bigint, block bigint, sig string, sig2 string, whole bigint")
 
 
 def _gram_tokens(block: int, sig: str) -> set[int]:
@@ -107,13 +114,13 @@ def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col:
 
     The score is 100 * (1 - edit distance / length of the longer signature), rounded down, the best over signatures
     of equal block sizes (of those that share seven characters); rows have `least` or more. Documents with equal
-    fingerprints are together: a row with docs_a = docs_b and score 100 names each set of two or more. Signatures of
-    under seven characters match nothing. Lists are sorted, docs_a has the smaller first id. Null ids, null and empty
+    fingerprints are together: a row with docs_a = docs_b and score 100 names each set of two or more. Where the first
+    signature has under seven characters, which many texts share, only equal texts are together. Lists are sorted, docs_a has the smaller first id. Null ids, null and empty
     texts match nothing. Rows with one id and equal texts count as one. Other columns are ignored.
     """
     spark = docs.sparkSession
-    found = fingerprints(docs, id_col, text_col).where(F.length("sig") >= GRAM)
-    keyed = found.groupBy("block", "sig", "sig2").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).withColumn("key", F.monotonically_increasing_id())
+    found = fingerprints(docs, id_col, text_col)
+    keyed = found.groupBy("block", "sig", "sig2", "whole").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).drop("whole").withColumn("key", F.monotonically_increasing_id())
     classes = _shared.cut(keyed)  # only once this is written are the numbers of the classes fixed
     numbers = _pairs.buckets(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = classes.select("key", "block", "sig", "sig2").mapInArrow(_pack(numbers), _pairs.PACKED)

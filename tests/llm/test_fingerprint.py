@@ -82,6 +82,14 @@ def test_matches_equal_brute_force(docs_of, odd_rows):
     assert got == brute(rows) and len(got) > 20
 
 
+def test_copies_with_short_signatures_are_together(docs_of):
+    repeated = "the same words again " * 800
+    assert len(fp.squeezed(fp.fingerprint(repeated)[1])) < fp.GRAM
+    rows = [(1, "hello"), (2, "hello"), (3, "hellp"), (4, repeated), (5, repeated), (6, repeated + "x"), (7, "a"), (8, "b"), (9, "a"), (9, "a"), (10, ""), (11, "")]
+    got = sorted((x["docs_a"], x["docs_b"], x["score"]) for x in fp.matches(docs_of(rows)).collect())
+    assert got == [([1, 2], [1, 2], 100), ([4, 5], [4, 5], 100), ([7, 9], [7, 9], 100)]
+
+
 def test_empty(docs_of):
     assert fp.fingerprint("") is None
     assert fp.matches(docs_of([])).count() == 0
