@@ -32,6 +32,8 @@ _TOKEN = re.compile(
     re.X,
 )
 _BARE = re.compile(r"[ \t]*([^\s\"'`;,(){}\[\]<>]+)")
+_ENDS = re.compile(r"[ \t]*(?:[ \t]#[^\n]*)?\r?(?:\n|$)")
+_TELLING = 0.9
 _WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "api_key": 1.0,
     "private_key": 1.0, "access_key": 1.0, "secret_key": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.8,
@@ -39,6 +41,7 @@ _WEIGHTS = {
     "session": 0.5, "cookie": 0.5, "key": 0.5, "salt": 0.5, "pin": 0.5,
 }
 _PREFIX = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-|sk_(live|test)_|eyJ[A-Za-z0-9_-]{10,}\.|-----BEGIN ")
+_PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)")
 _PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|your.*|change.?me.*|example.*|dummy.*|todo|none|null|true|false|test|placeholder.*|insert.*)$")
 
 
@@ -50,20 +53,36 @@ def name_weight(name: str) -> float:
     return max((_WEIGHTS.get(p, _WEIGHTS.get(p.rstrip("s"), 0.0)) for p in whole), default=0.0)
 
 
-def literal_weight(value: str) -> float:
-    """0 for placeholders and prose, up to 1 for long strings of many different letters and digits."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or value.count(" ") > 2:
+def literal_weight(value: str, prose: bool = False) -> float:
+    """0 for placeholders and, unless `prose`, for prose; up to 1 for long strings of many different letters and digits."""
+    if len(value) < 6 or _PLACEHOLDER.match(value):
         return 0.0
-    if _PREFIX.search(value):
+    spaced = value.count(" ") > 2
+    if _PREFIX.search(value) and not (spaced and _PUBLIC.search(value)):
         return 1.0
+    if spaced and not prose:
+        return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.1 + 0.5 * min(1.0, entropy / 3.5) + 0.2 * min(1.0, n / 20) + 0.1 * (kinds - 1))
 
 
+def _is_plain(text: str, name: str, sign: str, m: re.Match) -> bool:
+    """Whether a bare value without a digit is that of a setting: under a telling name, to the end of its line, and no code.
+
+    With a space before `=`, as in code, a dotted word, or one that stands in the text more than once, is a reference.
+    """
+    if name_weight(name) < _TELLING or not _ENDS.match(text, m.end(1)):
+        return False
+    word = m[1]
+    code = sign == "=" and text[m.start() - 2 : m.start() - 1].isspace()
+    return not (code and (re.fullmatch(r"\w+(\.\w+)+", word) or len(re.findall(rf"(?<!\w){re.escape(word)}(?!\w)", text)) > 1))
+
+
 def score(name: str, value: str) -> float:
-    weight, look = name_weight(name), literal_weight(value)
+    weight = name_weight(name)
+    look = literal_weight(value, weight >= _TELLING)
     return round(0.6 * weight + 0.4 * look, 6) if weight and look else round(0.7 * look, 6) if _PREFIX.search(value) else 0.0
 
 
@@ -120,7 +139,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
                 m = None
             if m:
                 word = m[1].rstrip(".!?")
-                if len(word) >= 8 and re.search("[0-9]", word) and re.search("[A-Za-z]", word) and not word.startswith(("//", "$")):
+                known_form = re.search("[0-9]", word) or _is_plain(text, name, sign[1], m)
+                if len(word) >= 8 and known_form and re.search("[A-Za-z]", word) and not word.startswith(("//", "$")):
                     value, first, last = word, m.start(1), m.start(1) + len(word)
         if first is None:
             i = j + 1

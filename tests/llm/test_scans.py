@@ -69,3 +69,22 @@ def test_secrets_of_documents(docs_of, odd_rows):
     got = secret_scan.secrets(docs_of([*odd_rows, (1, text), (1, text)])).collect()
     assert [(r["doc_id"], r["name"], text[r["start"] : r["end"]]) for r in got] == [(1, "secret", '"9f8Qa7Lm2Xc4Vb1N"')] * 2
     assert secret_scan.secrets(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ('private_key = "-----BEGIN RSA PRIVATE KEY-----MIIEow-----END RSA PRIVATE KEY-----"', ["-----BEGIN RSA PRIVATE KEY-----MIIEow-----END RSA PRIVATE KEY-----"]),
+        ('{"pem": "-----BEGIN PRIVATE KEY-----MIIEow-----END PRIVATE KEY-----"}', ["-----BEGIN PRIVATE KEY-----MIIEow-----END PRIVATE KEY-----"]),
+        ('pem = "-----BEGIN RSA PUBLIC KEY-----MIIBCg-----END RSA PUBLIC KEY-----"', []),
+        ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('subtitle = "correct horse battery staple"', []),
+        ("DB_PASSWORD=CorrectHorseBattery\nNAME=SomebodyElse", ["CorrectHorseBattery"]),
+        ("db:\n  password: CorrectHorseBattery  # ours\n", ["CorrectHorseBattery"]),
+        ("password = CorrectHorseBattery", ["CorrectHorseBattery"]),
+        ("def f(given_word):\n    self.password = given_word\n    self.token = settings.token", []),
+        ("the password: something that you know", []),
+    ],
+)
+def test_secrets_with_spaces_or_without_digits(text, found):
+    assert [v for _, v, *_ in secret_scan.find(text)] == found
