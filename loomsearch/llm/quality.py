@@ -4,7 +4,7 @@ Two generative models give the chance that a document holds a feature: one of th
 not toxic), one of the raw corpus (every document). Features are hashed to `buckets`: words, and one- and two-grams of
 word shapes (what follows the word, its case, whether it repeats the word before). A document's log ratio is the sum
 over its distinct features of log p(target) - log p(raw), counts of the document itself left out, and features whose
-counts could as well be chance (under `z` standard deviations) put to 0. Gumbel noise times `temperature` is added and
+counts could as well be chance (under `z` standard deviations) scaled down by the square of their share of `z`. Gumbel noise times `temperature` is added and
 the k documents of largest value are kept; k is the number of documents above the score that best parts the labels.
 """
 
@@ -88,7 +88,8 @@ def weights(target: np.ndarray, raw: np.ndarray, own: int, sums: tuple[float, fl
     share = total / whole
     ratio = np.log((a + alpha * share) / (total + alpha * share * len(raw))) - np.log((b + alpha) / (whole + alpha * len(raw)))
     due = b * share
-    return np.where(np.abs(a - due) >= z * np.sqrt(due + 1), ratio, 0).astype(np.float32)
+    known = np.minimum(1, np.abs(a - due) / (z * np.sqrt(due + 1))) if z > 0 else 1.0
+    return (ratio * known**2).astype(np.float32)
 
 
 @dataclass

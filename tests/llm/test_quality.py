@@ -63,3 +63,17 @@ def test_a_document_does_not_vouch_for_itself():
     raw, target = np.array([1, 50]), np.array([1, 40])
     w = quality.weights(target, raw, 1, (41.0, 51.0), 2.0, 0.0)
     assert abs(w[0]) < 0.5
+
+
+def test_rare_words_add_up(spark, docs_of):
+    r = random.Random(4)
+    good, bad = [f"good{c}" for c in "abcdefghijklmnopqrstuvwxyz"], [f"junk{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, " ".join(r.choice(good if i % 4 else bad) + chr(97 + r.randrange(26)) for _ in range(50))) for i in range(200)]
+    kept = {x["doc_id"] for x in quality.resample(docs_of(rows), labels_of(spark, [(i, int(i % 4 > 0), 0) for i in range(200)])).collect()}
+    assert not kept & set(range(0, 200, 4)) and len(kept) >= 140
+
+
+def test_weak_evidence_counts_a_little():
+    raw, target = np.array([4, 400, 10_000]), np.array([0, 0, 4_000])
+    w = quality.weights(target, raw, 0, (4_000.0, 10_404.0), 2.0, 3.0)
+    assert w[1] < w[0] < 0
