@@ -57,7 +57,10 @@ class Leaf:
         for t in sorted({t for k in keys for t in self.index.get(k, ())}):
             own = self.templates[t]
             if sum(x == y for x, y in zip(own, tokens)) >= self.need:
-                self.templates[t] = [x if x == y else WILD for x, y in zip(own, tokens)]
+                new = self.templates[t] = [x if x == y else WILD for x, y in zip(own, tokens)]
+                for i, (a, b) in enumerate(self.blocks):
+                    if new[a:b] != own[a:b]:  # a line may agree with the wild place
+                        self.index[i, *new[a:b]].append(t)
                 return t
         self.templates.append(list(tokens))
         for k in keys:

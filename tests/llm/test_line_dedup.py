@@ -82,6 +82,21 @@ def test_documents_lose_their_lines(docs_of, odd_rows):
     assert out.columns == docs_of([]).columns and (200, "Page 7 of 10") not in expected
 
 
+def test_blocks_find_all_that_a_full_comparison_finds():
+    r = random.Random(8)
+    for n in (4, 5, 9, 12, 20, 23):
+        leaf, slow = line_dedup.Leaf(n, 0.9, 2), []
+        base = [["a", "b", *(r.choice("xyz") for _ in range(n - 2))] for _ in range(4)]
+        for _ in range(400):
+            tokens = list(r.choice(base))
+            for _ in range(r.randrange(4)):
+                tokens[r.randrange(2, n)] = r.choice([line_dedup.WILD, "p", "q"])
+            at = next((i for i, t in enumerate(slow) if sum(x == y for x, y in zip(t, tokens)) >= leaf.need), len(slow))
+            slow[at:at + 1] = [[x if x == y else line_dedup.WILD for x, y in zip(slow[at], tokens)] if at < len(slow) else tokens]
+            assert leaf.add(tokens) == at
+        assert leaf.templates == slow
+
+
 def test_empty(docs_of):
     assert line_dedup.dropped_lines(docs_of([])).count() == 0
     assert line_dedup.drop_recurring(docs_of([])).count() == 0
