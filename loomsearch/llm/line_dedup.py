@@ -2,7 +2,8 @@
 
 A line's tokens are its space-separated words, those with a digit generalised to `<*>`. The tree sends a line by its
 number of tokens and its first two tokens to a leaf. In a leaf, lines are taken in order of text: each joins the first
-template that agrees with it in enough places (a share of `similarity`), whose other places
+template that agrees with it in enough places (a share of `similarity`, but in all places but one where a line has a
+place after its leading tokens to agree in besides), whose other places
 become `<*>`, or starts one. A template that occurs in `min_docs` documents or more is dropped from all of them but the
 one of smallest doc_id.
 
@@ -43,11 +44,17 @@ def blocks(n: int, allowed: int, lead: int) -> list[tuple[int, int]]:
     return [(lead + free * i // parts, lead + free * (i + 1) // parts) for i in range(parts)]
 
 
+def needed(n: int, similarity: float, lead: int) -> int:
+    """Places in which a line of n tokens has to agree; one may differ if another after the leading ones is left."""
+    need = max(0, -int(-n * similarity // 1))
+    return min(need, n - 1) if n >= lead + 2 and similarity < 1 else need
+
+
 class Leaf:
     """Templates of lines with the same number of tokens and leading tokens."""
 
     def __init__(self, n: int, similarity: float, lead: int):
-        self.n, self.need = n, max(0, -int(-n * similarity // 1))
+        self.n, self.need = n, needed(n, similarity, lead)
         self.blocks = blocks(n, n - self.need, min(lead, n))
         self.templates: list[list[str]] = []
         self.index: dict[tuple, list[int]] = defaultdict(list)

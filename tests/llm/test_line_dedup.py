@@ -82,6 +82,18 @@ def test_documents_lose_their_lines(docs_of, odd_rows):
     assert out.columns == docs_of([]).columns and (200, "Page 7 of 10") not in expected
 
 
+def test_short_templates_with_a_name(docs_of):
+    names = [f"N{c}" for c in "abcdefghijklmno"]
+    rows = [(i, f"Posted by {n} in News\nShared by {n} today\nby {n} now") for i, n in enumerate(names)]
+    got = {tuple(r) for r in line_dedup.dropped_lines(docs_of(rows)).collect()}
+    assert got == {(i, 1, "Shared by <*> today", 15) for i in range(1, 15)} | {(i, 0, "Posted by <*> in News", 15) for i in range(1, 15)}
+
+
+def test_at_least_one_place_after_the_leading_ones_agrees():
+    assert [line_dedup.needed(n, 0.9, 2) for n in (1, 3, 4, 5, 9, 10, 19, 20, 21)] == [1, 3, 3, 4, 8, 9, 18, 18, 19]
+    assert line_dedup.needed(5, 1.0, 2) == 5 and line_dedup.needed(10, 0.5, 2) == 5
+
+
 def test_blocks_find_all_that_a_full_comparison_finds():
     r = random.Random(8)
     for n in (4, 5, 9, 12, 20, 23):
