@@ -90,7 +90,19 @@ def positional_postings(spark, sf_dir):
     return made.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
-QUERIES = {f.__name__: f for f in (tok_code_tf, tok_ngram2, ident_split, prose_tf, doc_lengths, field_lengths, df_cf, corpus_stats, top_terms, doc_norms, positional_postings)}
+def ident_split_text(spark, sf_dir):
+    """Parts of the lexemes of whole documents."""
+    lex = docs(spark, sf_dir).select("doc_id", F.posexplode(text.lexemes(F.col("text"))).alias("n", "lexeme"))
+    return lex.select("doc_id", "n", "lexeme", F.posexplode(text.identifier_stream(F.col("lexeme"))).alias("i", "token"))
+
+
+def positional_postings_text(spark, sf_dir):
+    """Postings of whole documents with their positions as text."""
+    made = index.positional_postings(docs(spark, sf_dir).select("doc_id", F.lit("content").alias("field"), text.code_tokens(F.col("text")).alias("tokens")))
+    return made.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+QUERIES = {f.__name__: f for f in (tok_code_tf, tok_ngram2, ident_split, ident_split_text, prose_tf, doc_lengths, field_lengths, df_cf, corpus_stats, top_terms, doc_norms, positional_postings, positional_postings_text)}
 
 TOKENS = tokens_cte()
 TF = f"WITH {TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL)"
