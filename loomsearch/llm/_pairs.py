@@ -3,7 +3,7 @@
 Tokens are 64-bit numbers whose low 58 bits are hashed. Each task packs its tokens by bucket into binary rows, as a
 row for each token would cost several times the bytes. A bucket's task finds runs of equal tokens, pairs the keys in
 them and packs the pairs with their counts, by the key that comes first; the last task adds up and filters. Pairs are
-packed as differences, for in a group of copies each key has all the others next to it.
+packed as differences, for in a group of copies each key has all the others next to it. Each key comes with its size.
 """
 
 from __future__ import annotations
@@ -67,12 +67,14 @@ class Packer:
     def __init__(self, numbers: list[int], placed: bool = False, most: int = 1 << 20):
         self.numbers, self.placed, self.most = np.array(numbers, np.int32), placed, most
         self.seen: dict[int, np.ndarray] = {}
+        self.sizes: list[int] = []
         self.held = 0
 
-    def add(self, key: int, tokens: np.ndarray) -> None:
-        """A key that the task had before (an identical group) isn't packed again."""
+    def add(self, key: int, tokens: np.ndarray, size: int = 0) -> None:
+        """A key that the task had before (an identical group, known by 64 bits of hash) isn't packed again."""
         if key not in self.seen:
             self.seen[key] = tokens
+            self.sizes.append(size)
             self.held += len(tokens)
 
     def full(self) -> bool:
@@ -80,7 +82,7 @@ class Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            keys = np.array(list(self.seen), np.int64)
+            keys, sizes = np.array(list(self.seen), np.int64), np.array(self.sizes, np.int64)
             lengths = np.array([len(t) for t in self.seen.values()])
             own = np.repeat(np.arange(len(keys)), lengths)
             tok = np.concatenate(list(self.seen.values()))
@@ -89,50 +91,51 @@ class Packer:
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(len(self.numbers) + 1))
             tok, own, at = tok[order], own[order], at[order]
-            for p, (a, b) in enumerate(zip(edges, edges[1:])):
-                if b > a:
-                    here, counts = np.unique(own[a:b], return_counts=True)
-                    t = tok[a:b]
-                    steps = np.diff(at[a:b], prepend=0)
-                    starts = np.cumsum(counts) - counts
-                    steps[starts] = at[a:b][starts]
-                    times = _small([counts, steps] if self.placed else [counts])
-                    head = np.array([len(here), b - a, len(times)], np.uint32).tobytes() + _named(keys[here])
-                    body = [(t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((t >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes()]
-                    yield pa.record_batch([pa.array([self.numbers[p]], pa.int32()), pa.array([b"".join([head, *body, times])], pa.binary())], schema=_SCHEMA)
-        self.seen, self.held = {}, 0
-
-
-def _unpack(payload: bytes, placed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """`(keys, owner of each token, tokens, places)`."""
+            for p in np.flatnonzero(np.diff(edges)):
+                a, b = edges[p], edges[p + 1]
+                here, counts = np.unique(own[a:b], return_counts=True)
+                t = tok[a:b]
+                steps = np.diff(at[a:b], prepend=0)
+                starts = np.cumsum(counts) - counts
+                steps[starts] = at[a:b][starts]
+                times = _small([counts, sizes[here], *([steps] if self.placed else [])])
+                head = np.array([len(here), b - a, len(times)], np.uint32).tobytes() + _named(keys[here])
+                body = [(t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((t >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes()]
+                yield pa.record_batch([pa.array([self.numbers[p]], pa.int32()), pa.array([b"".join([head, *body, times])], pa.binary())], schema=_SCHEMA)
+        self.seen, self.sizes, self.held = {}, [], 0
+
+
+def _unpack(payload: bytes, placed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`(keys, their sizes, owner of each token, tokens, places)`."""
     n, m, size = (int(x) for x in np.frombuffer(payload, np.uint32, 3))
     keys, at = _names(payload, n, 12)
     low, high = np.frombuffer(payload, np.uint32, m, at), np.frombuffer(payload, np.uint8, m, at + 4 * m)
-    counts, *steps = (x.astype(np.int64) for x in _large(payload[len(payload) - size :], [n, m] if placed else [n]))
+    counts, sizes, *steps = (x.astype(np.int64) for x in _large(payload[len(payload) - size :], [n, n, m] if placed else [n, n]))
     own, places = np.repeat(np.arange(n), counts), np.zeros(m, np.int32)
     if placed:
         total, starts = np.cumsum(steps[0]), np.cumsum(counts) - counts
         places = (total - np.repeat(total[starts] - steps[0][starts], counts)).astype(np.int32)
-    return keys, own, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), places
+    return keys, sizes, own, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), places
 
 
-def pack_pairs(keys: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, proof: np.ndarray) -> bytes:
+def pack_pairs(keys: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, proof: np.ndarray) -> bytes:
     """Pairs `a < b` of places in `keys`, sorted by a, then b, with their counts and whether there is evidence."""
     here, back = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = back[: len(a)], back[len(a) :]
     fresh = np.concatenate([[True], x[1:] != x[:-1]])
     ahead = y - np.where(fresh, x, np.concatenate([[0], y[:-1]]))
-    return np.array([len(here), len(a)], np.uint32).tobytes() + _named(keys[here]) + _small([np.diff(x, prepend=0), ahead, counts, proof])
+    return np.array([len(here), len(a)], np.uint32).tobytes() + _named(keys[here]) + _small([sizes[here], np.diff(x, prepend=0), ahead, counts, proof])
 
 
-def unpack_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`(keys, their sizes, a, b, counts, proof)`."""
     n, m = (int(x) for x in np.frombuffer(payload, np.uint32, 2))
     keys, at = _names(payload, n, 8)
-    step, ahead, counts, proof = (x.astype(np.int64) for x in _large(payload[at:], [m] * 4))
+    sizes, step, ahead, counts, proof = (x.astype(np.int64) for x in _large(payload[at:], [n] + [m] * 4))
     a, total = np.cumsum(step), np.cumsum(ahead)
     starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     base = a[starts] + ahead[starts] - total[starts]
-    return keys, a, total + np.repeat(base, np.diff(np.append(starts, m))), counts, proof
+    return keys, sizes, a, total + np.repeat(base, np.diff(np.append(starts, m))), counts, proof
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,7 +215,7 @@ def _run_pairs(tok: np.ndarray, own: np.ndarray, places: np.ndarray, sizes: np.n
         begin = end
 
 
-def _count(numbers: list[int], ratio: float, size_of: Callable[[np.ndarray], np.ndarray], evident: Callable | None):
+def _count(numbers: list[int], ratio: float, evident: Callable | None):
     marks = np.array(numbers, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,17 +224,18 @@ def _count(numbers: list[int], ratio: float, size_of: Callable[[np.ndarray], np.
             return
         keys = np.concatenate([p[0] for p in parts])
         shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-        own = np.concatenate([p[1] + s for p, s in zip(parts, shift)])
-        tok, places = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        own = np.concatenate([p[2] + s for p, s in zip(parts, shift)])
+        tok, places = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+        key_of, lead, of = np.unique(keys, return_index=True, return_inverse=True)
+        size_of = np.concatenate([p[1] for p in parts])[lead]
         del parts
-        key_of, of = np.unique(keys, return_inverse=True)
-        order = np.lexsort((key_of, size_of(key_of)))  # the same order of keys in all tasks: by size, then key
-        key_of = key_of[order]
+        order = np.lexsort((key_of, size_of))  # the same order of keys in all tasks: by size, then key
+        key_of, size_of = key_of[order], size_of[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         width = len(key_of)
         counter = _Counter()
-        _run_pairs(tok, place[of[own]], places, size_of(key_of), ratio, evident, counter, width)
+        _run_pairs(tok, place[of[own]], places, size_of, ratio, evident, counter, width)
         codes, counts = counter.total()
         proof, codes = codes & 1, codes >> 1
         first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
@@ -244,18 +248,18 @@ def _count(numbers: list[int], ratio: float, size_of: Callable[[np.ndarray], np.
         for p, (s, e) in enumerate(zip(edges, edges[1:])):
             for i in range(s, e, 1 << 22):
                 own = order[i : min(e, i + (1 << 22))]
-                yield pa.record_batch([pa.array([marks[p]], pa.int32()), pa.array([pack_pairs(key_of, a[own], b[own], counts[own], proof[own])], pa.binary())], schema=_SCHEMA)
+                yield pa.record_batch([pa.array([marks[p]], pa.int32()), pa.array([pack_pairs(key_of, size_of, a[own], b[own], counts[own], proof[own])], pa.binary())], schema=_SCHEMA)
 
     return run
 
 
-def _add_up(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size_of: Callable[[np.ndarray], np.ndarray], edges_only: bool):
+def _add_up(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], edges_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack_pairs(p.as_buffer().to_pybytes()) for b in batches for p in b.column(1)]
         if not parts:
             return
-        keys = np.unique(np.concatenate([p[0] for p in parts]))
-        sizes = size_of(keys)
+        keys, lead = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        sizes = np.concatenate([p[1] for p in parts])[lead]
         codes, counts, proofs = (np.zeros(0, np.int64) for _ in range(3))
         pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
@@ -266,7 +270,7 @@ def _add_up(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], si
             return found, *sums
 
         while parts:
-            k, a, b, n, proof = parts.pop()
+            k, _, a, b, n, proof = parts.pop()
             of = np.searchsorted(keys, k)
             pending.append((of[a] * len(keys) + of[b], n, proof))
             held += len(n)
@@ -289,11 +293,7 @@ def _add_up(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], si
     return run
 
 
-def no_size(keys: np.ndarray) -> np.ndarray:
-    return np.zeros(len(keys), np.int64)
-
-
-def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Callable, size_of: Callable = no_size, evident: Callable | None = None, edges_only: bool = False) -> DataFrame:
+def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Callable, evident: Callable | None = None, edges_only: bool = False) -> DataFrame:
     """`(key_a, key_b, shared)`, each pair of keys once, where `keep(size_a, size_b, shared)` holds.
 
     With `evident(size_a, size_b, place_a, place_b)` it must hold for one of the shared tokens; tokens are then packed
@@ -302,6 +302,52 @@ def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Cal
     With `edges_only`, `(a, b)` edges that link the same keys as those pairs do, no more than keys in each task.
     """
     parts = len(numbers)
-    counted = packed.repartition(parts, "bucket").mapInArrow(_count(numbers, ratio, size_of, evident), PACKED)
+    counted = packed.repartition(parts, "bucket").mapInArrow(_count(numbers, ratio, evident), PACKED)
     out = "a bigint, b bigint" if edges_only else "key_a bigint, key_b bigint, shared bigint"
-    return counted.repartition(parts, "bucket").mapInArrow(_add_up(keep, size_of, edges_only), out)
+    return counted.repartition(parts, "bucket").mapInArrow(_add_up(keep, edges_only), out)
+
+
+LINKS = "a bigint, b bigint, links bigint, best double"
+_LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("best", pa.float64())])
+
+
+class Links:
+    """Sums up the links of a task: how many documents each node is linked to, the best score, and a forest of edges."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.held = most, 0
+        self.pending: list[tuple[np.ndarray, ...]] = []
+        self.nodes, self.links, self.best, self.low = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray, docs_a: np.ndarray, docs_b: np.ndarray, score: np.ndarray) -> None:
+        """Links between nodes a and b, which stand for so many documents."""
+        self.pending.append((a, b, docs_a, docs_b, score))
+        self.held += len(a)
+        if self.held >= self.most:
+            self._settle()
+
+    def _settle(self) -> None:
+        if not self.held:
+            return
+        a, b, docs_a, docs_b, score = (np.concatenate(x) for x in zip(*self.pending))
+        self.pending, self.held = [], 0
+        ends = np.concatenate([a, b, self.nodes, self.low])
+        nodes, at = np.unique(ends, return_inverse=True)
+        m, k = len(a), len(self.nodes)
+        x, y, old, low = at[:m], at[m : 2 * m], at[2 * m : 2 * m + k], at[2 * m + k :]
+        links = np.zeros(len(nodes), np.int64)
+        np.add.at(links, np.concatenate([x, y, old]), np.concatenate([docs_b, docs_a, self.links]))
+        best = np.zeros(len(nodes))
+        np.maximum.at(best, np.concatenate([x, y, old]), np.concatenate([score, score, self.best]))
+        self.low = nodes[forest(len(nodes), np.concatenate([x, old]), np.concatenate([y, low]))]
+        self.nodes, self.links, self.best = nodes, links, best
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """`(node, null, links, best)` of each node, and `(node, lower node, null, null)` edges."""
+        self._settle()
+        for i in range(0, len(self.nodes), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            node = self.nodes[part]
+            yield pa.record_batch([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(self.links[part]), pa.array(self.best[part])], schema=_LINKED)
+            edge = node != self.low[part]
+            yield pa.record_batch([pa.array(node[edge]), pa.array(self.low[part][edge]), pa.nulls(int(edge.sum()), pa.int64()), pa.nulls(int(edge.sum()), pa.float64())], schema=_LINKED)

@@ -2,14 +2,15 @@
 
 A document is the set of its n-grams of words. In one global order of grams (rare before frequent, by a count sketch)
 two sets with Jaccard similarity of `t` or more share a gram within their prefixes of size - ceil(t * size) + 1 grams.
-Documents with the same prefix and size form one group, known by a hash of both; groups are paired over their prefix
-grams. A pair of groups of sizes x and y stays only if the shared prefix grams, with all that may lie behind the
+Documents with the same prefix and size form one group, known by a 64-bit hash of both; groups are paired over their
+prefix grams. A pair of groups of sizes x and y stays only if the shared prefix grams, with all that may lie behind the
 prefixes, can reach the overlap need = t / (1 + t) * (x + y), and one of them is among the first x - need + 1 and
 y - need + 1 grams.
 
-Groups that such pairs link are expanded together: each distinct gram set of their members goes once, with the ids of
-its documents, to the block of its component, where all pairs are verified on the full sets. So the pairs themselves
-are never moved, only edges that link the same groups. A large component is cut into parts, with a block for each two.
+Groups that such pairs link are expanded together: each distinct gram set of their members goes once, with
+its documents counted, to the block of its component, where all pairs are verified on the full sets. So the pairs
+themselves are never moved, only edges that link the same groups, and sums of links by set. A large component is cut
+into parts, with a block for each two.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from loomsearch.llm import _pairs, _shared, _words
 
 _GROUPS = pa.schema([("doc_id", pa.int64()), ("group", pa.int64()), ("set", pa.int64()), ("size", pa.int64())])
 _SETS = pa.schema([("set", pa.int64()), ("grams", pa.binary())])
-_OUT = pa.schema([("docs_a", pa.list_(pa.int64())), ("docs_b", pa.list_(pa.int64())), ("jaccard", pa.float64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_SIZE = (1 << 20) - 1  # the low bits of a group's name are its size, as far as they go
+TOKENS = 1 << 23  # prefix grams of a bucket, about
 PART_SETS, PART_BYTES = 1024, 16 << 20  # of a block
 TILE, SLAB = 256, 8192
 
@@ -59,8 +59,8 @@ def _sketch(n: int, bits: int):
     return run
 
 
-def gram_grades(docs: DataFrame, n: int) -> np.ndarray:
-    """Frequency grade, 0 to 63, of each sketch bucket. Only the speed of the join hangs on it, not its result.
+def gram_grades(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Frequency grade, 0 to 63, of each sketch bucket, and the number of grams. Only the join's speed hangs on them.
 
     The sketch has 2**18 to 2**24 buckets by the number of documents, so its size is bounded.
     """
@@ -69,7 +69,7 @@ def gram_grades(docs: DataFrame, n: int) -> np.ndarray:
     counts = np.zeros(1 << bits, np.int64)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     mean = counts.mean()
-    return np.clip(8 * np.log2(1 + np.maximum(0, counts - mean) / math.sqrt(mean + 1)), 0, 63).astype(np.uint8)
+    return np.clip(8 * np.log2(1 + np.maximum(0, counts - mean) / math.sqrt(mean + 1)), 0, 63).astype(np.uint8), int(counts.sum())
 
 
 def gram_sets(texts: pa.Array, n: int, grades: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -86,11 +86,7 @@ def gram_sets(texts: pa.Array, n: int, grades: np.ndarray) -> Iterator[tuple[int
 
 def _group_of(grams: np.ndarray, t: float) -> tuple[int, np.ndarray]:
     prefix = grams[: int(prefix_size(np.array(len(grams)), t))]
-    return _hash(len(grams).to_bytes(8, "little"), prefix.tobytes()) & ~_SIZE | min(len(grams), _SIZE), prefix
-
-
-def _size_of(groups: np.ndarray) -> np.ndarray:
-    return groups & _SIZE
+    return _hash(len(grams).to_bytes(8, "little"), prefix.tobytes()), prefix
 
 
 def _prefixes(n: int, t: float, grades, numbers: list[int]):
@@ -99,7 +95,7 @@ def _prefixes(n: int, t: float, grades, numbers: list[int]):
         for b in batches:
             for _, grams in gram_sets(b.column(0), n, grades.value):
                 if len(grams):
-                    packer.add(*_group_of(grams, t))
+                    packer.add(*_group_of(grams, t), len(grams))
                     if packer.full():
                         yield from packer.flush()
         yield from packer.flush()
@@ -191,7 +187,7 @@ def _evident(t: float):
 
     def holds(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         need = np.ceil(t / (1 + t) * (x + y) - 1e-9)
-        return (i <= x - need) & (j <= y - need) | (x == _SIZE) | (y == _SIZE)
+        return (i <= x - need) & (j <= y - need)
 
     return holds
 
@@ -245,97 +241,98 @@ def similar(sets: list[np.ndarray], side: np.ndarray, t: float) -> Iterator[tupl
                 yield i + a, j + b, n / (sizes[i + a] + sizes[j + b] - n)
 
 
-def _verify(t: float, edges_only: bool):
-    """Rows come by block and size: `(block, side, set, grams, docs)`."""
-
-    def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sets, names = [_long(r[3]) for r in rows], np.array([r[2] for r in rows], np.int64)
-        for s in sets:
-            s.sort()
-        found = similar(sets, np.array([r[1] for r in rows]), t)
-        if edges_only:
-            pairs = [(i, j) for i, j, _ in found]
-            if pairs:
-                low = _pairs.forest(len(rows), np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs]))
-                node = np.flatnonzero(low != np.arange(len(rows)))
-                yield pa.record_batch([pa.array(names[node]), pa.array(names[low[node]])], schema=_LINKS)
-            return
-        docs = pa.array([r[4] for r in rows], pa.list_(pa.int64()))
-        rank = np.empty(len(rows), np.int64)
-        rank[sorted(range(len(rows)), key=lambda i: rows[i][4])] = np.arange(len(rows))
-        width = max(len(r[4]) for r in rows)
-        for i, j, jaccard in found:
-            ahead = rank[i] < rank[j]
-            first, second = np.where(ahead, i, j), np.where(ahead, j, i)
-            step = max(1, (1 << 20) // width)
-            for k in range(0, len(first), step):
-                part = slice(k, k + step)
-                yield pa.record_batch([docs.take(pa.array(first[part])), docs.take(pa.array(second[part])), pa.array(np.round(jaccard[part], 6))], schema=_OUT)
+def _verify(t: float):
+    """Rows come by block and size: `(block, side, set, grams, n)`; gives sums of links and edges between sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _pairs.Links()
+
+        def solve(rows: list[tuple]) -> None:
+            sets, names, n = [_long(r[3]) for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
+            for s in sets:
+                s.sort()
+            for i, j, jaccard in similar(sets, np.array([r[1] for r in rows]), t):
+                links.add(names[i], names[j], n[i], n[j], np.round(jaccard, 6))
+
         here, rows = None, []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != here:
-                    yield from solved(rows) if rows else ()
+                    if rows:
+                        solve(rows)
                     here, rows = row[0], []
                 rows.append(row)
-        yield from solved(rows) if rows else ()
+        if rows:
+            solve(rows)
+        yield from links.rows()
 
     return run
 
 
-def similar_sets(docs: DataFrame, t: float, n: int, edges_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """`(set, docs)` of all distinct gram sets, and `(docs_a, docs_b, jaccard)` of the similar ones.
+def similar_sets(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All similar pairs of distinct gram sets, summed up by set.
 
-    With `edges_only` the latter are `(a, b)` edges between sets that link the same sets as the similar pairs do.
+    `(set, doc_id)` of all documents, `(set, rep, n)` of the sets with their smallest document and the number of their
+    documents, and `_pairs.LINKS` rows: documents linked to a set and its greatest similarity, and edges between sets.
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
     spark = docs.sparkSession
     texts = _shared.narrow(docs)
-    grades = spark.sparkContext.broadcast(gram_grades(texts, n))
-    numbers = _pairs.buckets(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grades, total = gram_grades(texts, n)
+    grades = spark.sparkContext.broadcast(grades)
+    numbers = _pairs.buckets(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t) / TOKENS)))
     packed = texts.select("text").mapInArrow(_prefixes(n, t, grades, numbers), _pairs.PACKED)
-    edges = _shared.cut(_pairs.sharing_pairs(packed, numbers, t, _reaches(t), _size_of, _evident(t), edges_only=True))
+    edges = _shared.cut(_pairs.sharing_pairs(packed, numbers, t, _reaches(t), _evident(t), edges_only=True))
     linked = components(edges, edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
 
-    members = texts.mapInArrow(_groups(n, t, grades), "doc_id bigint, group bigint, set bigint, size bigint")
-    gathered = members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("group").alias("group"), F.min("size").alias("size"), F.sort_array(F.collect_set("doc_id")).alias("docs"))
-    sets = _shared.cut(gathered)
+    members = _shared.cut(texts.mapInArrow(_groups(n, t, grades), "doc_id bigint, group bigint, set bigint, size bigint").dropDuplicates(["set", "doc_id"]))
+    sets = _shared.cut(members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("group").alias("group"), F.min("size").alias("size"), F.count("*").alias("n")))
 
     # expansion: the sets of linked groups, and of one group where its members differ behind the prefix, by component
-    placed = sets.select("set", "rep", "group", "size").join(linked.withColumnRenamed("node", "group"), "group", "left").withColumn("component", F.coalesce("component", "group"))
-    loads = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).where("n > 1")
-    parts = F.greatest(F.ceil(F.col("n") / PART_SETS), F.ceil(F.col("grams") * 6 / PART_BYTES))
-    chosen = _shared.cut(placed.join(loads.select("component", parts.alias("parts")), "component").select("set", "rep", "component", "parts"))
+    placed = sets.join(linked.withColumnRenamed("node", "group"), "group", "left").withColumn("component", F.coalesce("component", "group"))
+    loads = placed.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("grams")).where("sets > 1")
+    parts = F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("grams") * 6 / PART_BYTES))
+    chosen = _shared.cut(placed.join(loads.select("component", parts.alias("parts")), "component").select("set", "rep", "n", "component", "parts"))
     wanted = spark.sparkContext.broadcast(wanted_filter(chosen.select("set", "rep")))
     full = texts.mapInArrow(_sets(n, grades, wanted), "set bigint, grams binary").dropDuplicates(["set"])
     own = F.pmod(F.xxhash64("set"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")
-    spread = chosen.select("set", "component", own.alias("own"), other)
+    spread = chosen.select("set", "n", "component", own.alias("own"), other)
     block = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("block")
-    held = full.join(spread.select(block, F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "set"), "set")
-    if edges_only:
-        rows = held.select("block", "side", "set", "grams", F.lit(None).cast("array<bigint>").alias("docs"))
-    else:
-        rows = held.join(sets.select("set", "docs"), "set").select("block", "side", "set", "grams", "docs")
-    by_block = rows.repartition("block").sortWithinPartitions("block", F.length("grams"))
-    return sets.select("set", "docs"), by_block.mapInArrow(_verify(t, edges_only), "a bigint, b bigint" if edges_only else "docs_a array<bigint>, docs_b array<bigint>, jaccard double")
+    held = full.join(spread.select(block, F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "set", "n"), "set")
+    by_block = held.select("block", "side", "set", "grams", "n").repartition("block").sortWithinPartitions("block", F.length("grams"))
+    return members.select("set", "doc_id"), sets.select("set", "rep", "n"), _shared.cut(by_block.mapInArrow(_verify(t), _pairs.LINKS))
 
 
-def jaccard_join(docs: DataFrame, t: float = 0.6, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(docs_a, docs_b, jaccard)`: every document of docs_a has this similarity, `t` or more, to every one of docs_b.
+def classes(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """`(node, class_id, n, links, best)` of nodes `(node, rep, n)` that are linked or stand for two documents or more.
+
+    `class_id` is the smallest document of all nodes that links connect; `links` counts other nodes' documents.
+    """
+    edges = linked.where("b is not null").select("a", "b")
+    sums = linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    groups = components(edges, nodes.select("node"))
+    lead = nodes.join(groups, "node").join(sums, "node", "left").where("n > 1 or links is not null")
+    first = lead.groupBy("component").agg(F.min("rep").alias("class_id"))
+    return lead.join(first, "component").select("node", "class_id", "n", F.coalesce("links", F.lit(0)).alias("links"), "best")
 
-    Documents with equal gram sets are always together; a row with docs_a = docs_b and similarity 1 names each such
-    set of two or more documents. Lists are sorted, docs_a has the smaller first id, and each pair of sets comes once.
-    A text of 1 to n - 1 words has one gram, all its words. Null ids, null texts and texts without words have no
-    partner. Rows with one id and equal texts count as one document; with different texts, the id may be in several
-    lists. Other columns are ignored.
+
+def jaccard_join(docs: DataFrame, t: float = 0.6, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(doc_id, class_id, copies, links, nearest)` of every document that has a similar one, with similarity `t` or more.
+
+    `class_id` is the smallest doc_id among the documents that links connect, `copies` is the number of other
+    documents with the same gram set, `links` that of all other documents that are similar, and `nearest` the greatest
+    similarity to one of them, 1 for copies. All similar pairs are counted, whatever their number. A text of 1 to
+    n - 1 words has one gram, all its words. Null ids, null texts and texts without words have no partner. Rows with
+    one id and equal gram sets count as one document; an id with different ones counts once for each, with a row each.
+    Other columns are ignored; an empty table gives no rows.
     """
-    sets, found = similar_sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), t, n)
-    same = sets.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return same.unionByName(found)
+    members, sets, linked = similar_sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), t, n)
+    named = classes(sets.withColumnRenamed("set", "node"), linked).withColumnRenamed("node", "set")
+    copies = F.col("n") - 1
+    nearest = F.when(copies > 0, F.lit(1.0)).otherwise(F.col("best"))
+    return members.join(named, "set").select("doc_id", "class_id", copies.alias("copies"), (copies + F.col("links")).alias("links"), nearest.alias("nearest"))
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,25 +388,25 @@ def drop_near_duplicates(docs: DataFrame, t: float = 0.6, n: int = 3) -> DataFra
     Groups are the connected components of the join. Rows with a null id, and texts without words, stay. Of rows with
     equal ids and texts in a group, all stay or go together.
     """
-    sets, edges = similar_sets(docs, t, n, edges_only=True)
-    sets = sets.select("set", F.array_min("docs").alias("first"), "docs")
-    groups = components(edges, sets.select(F.col("set").alias("node")))
-    lead = sets.join(groups, sets["set"] == groups["node"]).select("component", "first", F.explode("docs").alias("_loom_id"))
-    best = lead.groupBy("component").agg(F.min("first").alias("lead"))
-    lost = lead.join(best, "component").where(F.col("_loom_id") != F.col("lead")).select("_loom_id").distinct()
+    members, sets, linked = similar_sets(docs, t, n)
+    named = classes(sets.withColumnRenamed("set", "node"), linked).withColumnRenamed("node", "set")
+    lost = members.join(named.select("set", "class_id"), "set").where("doc_id <> class_id").select(F.col("doc_id").alias("_loom_id")).distinct()
     return docs.join(lost, F.col("doc_id") == F.col("_loom_id"), "left_anti")
 
 
 ORACLE = r"""
-WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM words WHERE len(w) > 0)),
 sets AS (SELECT doc_id, list(g ORDER BY g) AS s, count(*) AS n FROM grams GROUP BY doc_id),
-same AS (SELECT s, any_value(n) AS n, list(doc_id ORDER BY doc_id) AS docs FROM sets GROUP BY s),
-held AS (SELECT row_number() OVER () AS k, s, n, docs FROM same),
-each AS (SELECT k, n, unnest(s) AS g FROM held),
-pairs AS (SELECT a.k AS x, b.k AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS shared FROM each a JOIN each b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9)
-SELECT docs AS docs_a, docs AS docs_b, 1.0::DOUBLE AS jaccard FROM held WHERE len(docs) > 1
-UNION ALL
-SELECT CASE WHEN p.docs < q.docs THEN p.docs ELSE q.docs END, CASE WHEN p.docs < q.docs THEN q.docs ELSE p.docs END, round(shared / (nx + ny - shared), 6)
-FROM pairs JOIN held p ON p.k = x JOIN held q ON q.k = y
+held AS (SELECT row_number() OVER () AS k, s, any_value(n) AS n, min(doc_id) AS rep, count(*) AS docs FROM sets GROUP BY s),
+each AS (SELECT k, n, docs, unnest(s) AS g FROM held),
+pairs AS (
+  SELECT a.k AS x, b.k AS y, any_value(b.docs) AS docs, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM each a JOIN each b ON a.g = b.g AND a.k <> b.k
+  GROUP BY a.k, b.k HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+reach AS (SELECT k AS x, k AS y FROM held UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y),
+named AS (SELECT r.x AS k, min(h.rep) AS class_id FROM reach r JOIN held h ON h.k = r.y GROUP BY r.x),
+sums AS (SELECT x AS k, sum(docs) AS docs, max(jaccard) AS nearest FROM pairs GROUP BY x)
+SELECT s.doc_id, class_id, h.docs - 1 AS copies, CAST(h.docs - 1 + coalesce(m.docs, 0) AS BIGINT) AS links, CASE WHEN h.docs > 1 THEN 1.0 ELSE nearest END AS nearest
+FROM sets s JOIN held h ON h.s = s.s JOIN named USING (k) LEFT JOIN sums m USING (k)
+WHERE h.docs > 1 OR m.docs IS NOT NULL
 """

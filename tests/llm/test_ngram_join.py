@@ -14,19 +14,33 @@ def gram_set(text, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute(rows, t=0.6):
+def brute_sets(rows):
     by_set = {}
     for i, text in rows:
         if i is not None and gram_set(text):
             by_set.setdefault(gram_set(text), set()).add(i)
+    return by_set
+
+
+def brute(rows, t=0.6):
+    by_set = brute_sets(rows)
     sets = list(by_set)
-    out = [(sorted(by_set[s]), sorted(by_set[s]), 1.0) for s in sets if len(by_set[s]) > 1]
+    lead = list(range(len(sets)))
+    near = [{} for _ in sets]
     for i, a in enumerate(sets):
-        for b in sets[:i]:
+        for k, b in enumerate(sets):
             j = len(a & b) / len(a | b)
-            if j >= t - 1e-9:
-                x, y = sorted([sorted(by_set[a]), sorted(by_set[b])])
-                out.append((x, y, round(j, 6)))
+            if i != k and j >= t - 1e-9:
+                near[i][k] = round(j, 6)
+                low, high = sorted([lead[i], lead[k]])
+                lead = [low if x == high else x for x in lead]
+    out = []
+    for i, s in enumerate(sets):
+        own = by_set[s]
+        if len(own) > 1 or near[i]:
+            first = min(min(by_set[sets[k]]) for k in range(len(sets)) if lead[k] == lead[i])
+            links = len(own) - 1 + sum(len(by_set[sets[k]]) for k in near[i])
+            out += [(d, first, len(own) - 1, links, 1.0 if len(own) > 1 else max(near[i].values())) for d in own]
     return sorted(out)
 
 
@@ -43,7 +57,7 @@ def some_rows(seed=3):
 
 
 def found(df):
-    return sorted((r["docs_a"], r["docs_b"], r["jaccard"]) for r in df.collect())
+    return sorted((r["doc_id"], r["class_id"], r["copies"], r["links"], r["nearest"]) for r in df.collect())
 
 
 @pytest.mark.parametrize("t", [0.6, 1.0])
@@ -77,21 +91,29 @@ def test_bad_threshold(docs_of):
 
 def test_one_document_of_each_group_stays(docs_of, odd_rows):
     rows = some_rows(7) + odd_rows
-    groups = {i: i for i, _ in rows if i is not None}
-
-    def root(i):
-        return i if groups[i] == i else root(groups[i])
-
-    for a, b, _ in brute(rows):
-        for i in a + b:
-            x, y = root(a[0]), root(i)
-            groups[max(x, y)] = min(x, y)
+    lost = {d for d, first, *_ in brute(rows) if d != first}
     kept = ngram_join.drop_near_duplicates(docs_of(rows))
-    expected = [(i, t) for i, t in rows if i is None or root(i) == i]
+    expected = [(i, t) for i, t in rows if i not in lost]
+    assert lost
     assert sorted(map(str, [(r["doc_id"], r["text"]) for r in kept.collect()])) == sorted(map(str, expected))
     assert kept.columns == docs_of([]).columns
 
 
+def test_many_buckets(docs_of, monkeypatch):
+    rows = some_rows(8)
+    monkeypatch.setattr(ngram_join, "TOKENS", 200)
+    assert found(ngram_join.jaccard_join(docs_of(rows))) == brute(rows)
+
+
+def test_texts_of_over_a_million_grams(docs_of):
+    r = random.Random(9)
+    words = [f"{r.randrange(1 << 40):x}" for _ in range(1_100_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:700_000])), (3, " ".join(words[:500_000])), (4, "of other words")]
+    got = found(ngram_join.jaccard_join(docs_of(rows)))
+    assert [(d, c, n, k) for d, c, n, k, _ in got] == [(1, 1, 0, 1), (2, 1, 0, 2), (3, 1, 0, 1)]
+    assert [x[4] for x in got] == [0.636363, 0.714285, 0.714285]
+
+
 def test_components_by_rounds_and_at_once(spark):
     r = random.Random(1)
     edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(220)], "a bigint, b bigint")
@@ -108,7 +130,8 @@ def test_packed_pairs_round_trip(items):
         a, b = map(np.array, zip(*sorted(pairs)))
         n = np.array([pairs[p] for p in sorted(pairs)])
         keys = np.arange(41) * 7919
-        k, x, y, c, p = _pairs.unpack_pairs(_pairs.pack_pairs(keys, a, b, n, n % 2))
+        k, z, x, y, c, p = _pairs.unpack_pairs(_pairs.pack_pairs(keys, keys % 17, a, b, n, n % 2))
+        assert (z == k % 17).all()
         assert (k[x] == keys[a]).all() and (k[y] == keys[b]).all() and (c == n).all() and (p == n % 2).all()
 
 
@@ -117,9 +140,10 @@ def test_packed_tokens_round_trip():
     r = np.random.default_rng(3)
     given_ = {i: r.integers(0, 1 << 63, r.integers(1, 60)).astype(np.uint64) for i in range(40)}
     for k, t in given_.items():
-        packer.add(k, t)
+        packer.add(k, t, k * 5)
     seen = set()
     for batch in packer.flush():
-        keys, own, tok, places = _pairs._unpack(batch.column(1)[0].as_py(), True)
+        keys, sizes, own, tok, places = _pairs._unpack(batch.column(1)[0].as_py(), True)
+        assert (sizes == keys * 5).all()
         seen |= {(int(keys[o]), int(t), int(p)) for o, t, p in zip(own, tok, places)}
     assert seen == {(k, int(x) & (1 << 40) - 1, i) for k, t in given_.items() for i, x in enumerate(t)}
