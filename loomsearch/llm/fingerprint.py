@@ -10,6 +10,7 @@ row, after runs of one character are cut to three.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsearch.llm import _pairs, _shared, _words
+from loomsearch.llm import _pairs, _shared, _words, ngram_join
 
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LONG, SHORT, GRAM = 64, 32, 7
+TOKENS = 1 << 23  # signature grams of a bucket, about
 _OUT = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("sig", pa.string()), ("sig2", pa.string()), ("whole", pa.int64())])
 
 
@@ -109,24 +111,35 @@ def _all(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return np.ones(len(x), bool)
 
 
-def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(docs_a, docs_b, block_a, block_b, score)`: each document of docs_a matches each of docs_b with this score.
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = _pairs.Links()
+    for b in batches:
+        links.add(*(c.to_numpy() for c in b.columns))
+    yield from links.rows()
 
-    The score is 100 * (1 - edit distance / length of the longer signature), rounded down, the best over signatures
-    of equal block sizes (of those that share seven characters); rows have `least` or more. Documents with equal
-    fingerprints are together: a row with docs_a = docs_b and score 100 names each set of two or more. Where the first
-    signature has under seven characters, which many texts share, only equal texts are together. Lists are sorted, docs_a has the smaller first id. Null ids, null and empty
-    texts match nothing. Rows with one id and equal texts count as one. Other columns are ignored.
+
+def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(doc_id, class_id, copies, links, best)` of every document whose fingerprint matches another's.
+
+    The score of two fingerprints is 100 * (1 - edit distance / length of the longer signature), rounded down, the
+    best over signatures of equal block sizes (of those that share seven characters); they match from `least` on.
+    Equal fingerprints match with 100; where the first signature has under seven characters, which many texts share,
+    only equal texts do. `class_id` is the smallest doc_id among the documents that matches connect, `copies` the
+    number of other documents with an equal fingerprint, `links` that of all others that match, `best` the greatest
+    score to one of them. All matches are counted, whatever their number. Null ids, null and empty texts match
+    nothing. Rows with one id and equal fingerprints count as one document; an id with different ones counts once for
+    each, with a row each. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    found = fingerprints(docs, id_col, text_col)
-    keyed = found.groupBy("block", "sig", "sig2", "whole").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).drop("whole").withColumn("key", F.monotonically_increasing_id())
-    classes = _shared.cut(keyed)  # only once this is written are the numbers of the classes fixed
-    numbers = _pairs.buckets(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = classes.select("key", "block", "sig", "sig2").mapInArrow(_pack(numbers), _pairs.PACKED)
+    name = F.xxhash64("block", "sig", "sig2", "whole").alias("name")
+    members = _shared.cut(fingerprints(docs, id_col, text_col).withColumn("name", name).dropDuplicates(["name", "doc_id"]))
+    keyed = members.groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("block", "sig", "sig2")))
+    held = _shared.cut(keyed.withColumn("key", F.monotonically_increasing_id()))  # only once this is written are the numbers fixed
+    numbers = _pairs.buckets(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.count() * (LONG + SHORT) / TOKENS)))
+    packed = held.select("key", "block", "sig", "sig2").mapInArrow(_pack(numbers), _pairs.PACKED)
     pairs = _pairs.sharing_pairs(packed, numbers, 0.0, _all).select("key_a", "key_b")
 
-    side = lambda s: classes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "block", "sig", "sig2")))
+    side = lambda s: held.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "block", "sig", "sig2", "n")))
     both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
 
     def compared(x: str, y: str):
@@ -143,11 +156,10 @@ def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col:
         .when(F.col("block_a") == 2 * F.col("block_b"), compared("sig_a", "sig2_b"))
         .when(F.col("block_b") == 2 * F.col("block_a"), compared("sig2_a", "sig_b"))
     )
-    scored = _shared.cut(both.select("key_a", "key_b", "block_a", "block_b", best.alias("score")).where("score is not null"))
-    lists = classes.select("key", "docs")
-    named = scored.join(lists.select(F.col("key").alias("key_a"), F.col("docs").alias("a")), "key_a").join(lists.select(F.col("key").alias("key_b"), F.col("docs").alias("b")), "key_b")
-    ahead = F.col("a") < F.col("b")
-    pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
-    other = named.select(pick("a", "b").alias("docs_a"), pick("b", "a").alias("docs_b"), pick("block_a", "block_b").alias("block_a"), pick("block_b", "block_a").alias("block_b"), "score")
-    same = classes.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.col("block").alias("block_a"), F.col("block").alias("block_b"), F.lit(100).alias("score"))
-    return same.unionByName(other)
+    scored = both.select("key_a", "key_b", "n_a", "n_b", best.cast("double").alias("score")).where("score is not null")
+    linked = _shared.cut(scored.mapInArrow(_linked, _pairs.LINKS))
+    named = ngram_join.classes(held.select(F.col("key").alias("node"), "rep", "n"), linked)
+    found = named.join(held.select("name", F.col("key").alias("node")), "node")
+    copies = F.col("n") - 1
+    top = F.when(copies > 0, F.lit(100)).otherwise(F.col("best").cast("int"))
+    return members.select("name", "doc_id").join(found, "name").select("doc_id", "class_id", copies.alias("copies"), (copies + F.col("links")).alias("links"), top.alias("best"))

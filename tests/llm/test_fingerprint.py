@@ -31,8 +31,7 @@ def brute(rows, least=50):
     for i, t in rows:
         if i is not None and t and (f := fp.fingerprint(t)):
             f = (f[0], fp.squeezed(f[1]), fp.squeezed(f[2]))
-            if len(f[1]) >= fp.GRAM:
-                by.setdefault(f, set()).add(i)
+            by.setdefault((*f, t if len(f[1]) < fp.GRAM else None), set()).add(i)
 
     def score(a, b):
         grams = {a[i : i + fp.GRAM] for i in range(len(a) - fp.GRAM + 1)}
@@ -40,17 +39,31 @@ def brute(rows, least=50):
             return -1
         return int(100 * (1 - distance(a, b) / max(len(a), len(b))) + 1e-9)
 
-    out = [(sorted(d), sorted(d), 100) for d in by.values() if len(d) > 1]
     keys = list(by)
+    lead = list(range(len(keys)))
+    near = [{} for _ in keys]
     for i, x in enumerate(keys):
-        for y in keys[:i]:
+        for k, y in enumerate(keys[:i]):
             sides = [(bx, sx, by_, sy) for bx, sx in ((x[0], x[1]), (2 * x[0], x[2])) for by_, sy in ((y[0], y[1]), (2 * y[0], y[2])) if bx == by_]
             best = max([score(sx, sy) for _, sx, _, sy in sides], default=-1)
             if best >= least:
-                out.append((*sorted([sorted(by[x]), sorted(by[y])]), best))
+                near[i][k] = near[k][i] = best
+                low, high = sorted([lead[i], lead[k]])
+                lead = [low if z == high else z for z in lead]
+    out = []
+    for i, x in enumerate(keys):
+        own = by[x]
+        if len(own) > 1 or near[i]:
+            first = min(min(by[keys[k]]) for k in range(len(keys)) if lead[k] == lead[i])
+            links = len(own) - 1 + sum(len(by[keys[k]]) for k in near[i])
+            out += [(d, first, len(own) - 1, links, 100 if len(own) > 1 else max(near[i].values())) for d in own]
     return sorted(out)
 
 
+def found(df):
+    return sorted((x["doc_id"], x["class_id"], x["copies"], x["links"], x["best"]) for x in df.collect())
+
+
 def test_chunks_are_those_of_the_slow_scan():
     r = random.Random(4)
     text = "".join(r.choice("abcdefgh .,") for _ in range(3000))
@@ -78,7 +91,7 @@ def test_matches_equal_brute_force(docs_of, odd_rows):
             t = t[:at] + r.choice(["", "Z", "some words"]) + t[at + r.randrange(0, 30) :]
         rows.append((i, t))
     rows += odd_rows + [rows[0]]
-    got = sorted((x["docs_a"], x["docs_b"], x["score"]) for x in fp.matches(docs_of(rows)).collect())
+    got = found(fp.matches(docs_of(rows)))
     assert got == brute(rows) and len(got) > 20
 
 
@@ -86,8 +99,7 @@ def test_copies_with_short_signatures_are_together(docs_of):
     repeated = "the same words again " * 800
     assert len(fp.squeezed(fp.fingerprint(repeated)[1])) < fp.GRAM
     rows = [(1, "hello"), (2, "hello"), (3, "hellp"), (4, repeated), (5, repeated), (6, repeated + "x"), (7, "a"), (8, "b"), (9, "a"), (9, "a"), (10, ""), (11, "")]
-    got = sorted((x["docs_a"], x["docs_b"], x["score"]) for x in fp.matches(docs_of(rows)).collect())
-    assert got == [([1, 2], [1, 2], 100), ([4, 5], [4, 5], 100), ([7, 9], [7, 9], 100)]
+    assert found(fp.matches(docs_of(rows))) == [(d, c, 1, 1, 100) for d, c in ((1, 1), (2, 1), (4, 4), (5, 4), (7, 7), (9, 7))]
 
 
 def test_empty(docs_of):
