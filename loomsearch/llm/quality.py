@@ -1,11 +1,14 @@
 """Quality classification by importance resampling with hashed n-gram models.
 
 Two generative models give the chance that a document holds a feature: one of the target (documents labelled good and
-not toxic), one of the raw corpus (every document). Features are hashed to `buckets`: words, and one- and two-grams of
-word shapes (what follows the word, its case, whether it repeats the word before). A document's log ratio is the sum
-over its distinct features of log p(target) - log p(raw), counts of the document itself left out, and features whose
-counts could as well be chance (under `z` standard deviations) scaled down by the square of their share of `z`. Gumbel noise times `temperature` is added and
-the k documents of largest value are kept; k is the number of documents above the score that best parts the labels.
+not toxic), one of the raw corpus (every document). Features are hashed to buckets: words, and one- and two-grams of
+word shapes (what follows the word, its case, whether it repeats the word before), to the first two thirds; two-grams
+of words to the rest, as a model of their own. A document's log ratio is the sum over its distinct features of log p(target) - log p(raw),
+counts of the document itself left out, and features whose counts could as well be chance (under `z` standard
+deviations, `z_pairs` for the many two-grams of words, most of them rare) scaled down by the square of their share
+of it. Standard Gumbel noise times `temperature` is added and the k documents of largest value are kept, which
+draws k documents without replacement with chances in proportion to exp(log ratio / temperature). Unless it is given,
+k is the number of documents above the score that best parts the labels.
 """
 
 from __future__ import annotations
@@ -29,6 +32,11 @@ _COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.
 _SCORES = pa.schema([("doc_id", pa.int64()), ("log_ratio", pa.float64())])
 
 
+def words_of(buckets: int) -> int:
+    """Buckets of words and shapes; those behind are of two-grams of words."""
+    return buckets - buckets // 3
+
+
 def features(texts: pa.Array, buckets: int, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """`(first row, row of each feature, feature)` of chunks of rows; a row has each of its features once."""
     data, bounds = _words.buffers(texts)
@@ -38,7 +46,11 @@ def features(texts: pa.Array, buckets: int, most: int = 1 << 18) -> Iterator[tup
         raw, edges = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         chunk = _words.split_bytes(_LOW[raw], edges, i)
         row = chunk.row_of_word()
-        found = [row * buckets + (chunk.hashes % np.uint64(buckets)).astype(np.int64)]
+        most_words = words_of(buckets)
+        found = [row * buckets + (chunk.hashes % np.uint64(most_words)).astype(np.int64)]
+        pairs, off = _words.ngrams(chunk, 2)
+        both = np.repeat(np.diff(chunk.offsets) > 1, np.diff(off))  # a row of one word has no pair
+        found.append((np.repeat(np.arange(chunk.rows), np.diff(off)) * buckets + most_words + (pairs % np.uint64(buckets - most_words)).astype(np.int64))[both])
         if len(row):
             stop = edges[row + 1]
             after = [np.where(chunk.ends + k < stop, np.concatenate([raw, np.zeros(2, np.uint8)])[chunk.ends + k], 0).astype(np.uint64) for k in (0, 1)]
@@ -50,7 +62,7 @@ def features(texts: pa.Array, buckets: int, most: int = 1 << 18) -> Iterator[tup
             shapes = _words.Chunk(i, chunk.rows, shape, chunk.offsets, chunk.starts, chunk.ends, raw, edges)
             for n in (1, 2):
                 grams, off = _words.ngrams(shapes, n)
-                found.append(np.repeat(np.arange(chunk.rows), np.diff(off)) * buckets + (grams % np.uint64(buckets)).astype(np.int64))
+                found.append(np.repeat(np.arange(chunk.rows), np.diff(off)) * buckets + (grams % np.uint64(most_words)).astype(np.int64))
         both = np.unique(np.concatenate(found))
         yield i, both // buckets, both % buckets
         i = j
@@ -88,7 +100,7 @@ def weights(target: np.ndarray, raw: np.ndarray, own: int, sums: tuple[float, fl
     share = total / whole
     ratio = np.log((a + alpha * share) / (total + alpha * share * len(raw))) - np.log((b + alpha) / (whole + alpha * len(raw)))
     due = b * share
-    known = np.minimum(1, np.abs(a - due) / (z * np.sqrt(due + 1))) if z > 0 else 1.0
+    known = np.minimum(1, np.abs(a - due) / np.maximum(z * np.sqrt(due + 1), 1e-9))
     return (ratio * known**2).astype(np.float32)
 
 
@@ -99,7 +111,7 @@ class Model:
     target_ids: np.ndarray
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 20, alpha: float = 2.0, z: float = 3.0, max_target: int = 100_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 3 << 19, alpha: float = 2.0, z: float = 3.0, z_pairs: float = 12.0, max_target: int = 100_000) -> Model:
     """Counts features over all documents; the target are at most `max_target` labelled documents, by hash of their id."""
     spark = docs.sparkSession
     good = good_labels(labels).where("good").select("doc_id")
@@ -109,8 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 20, alpha: float
     target, raw = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     at = found["bucket"].to_numpy()
     target[at], raw[at] = found["target"].to_numpy(), found["raw"].to_numpy()
-    sums = float(target.sum()), float(raw.sum())
-    return Model(weights(target, raw, 0, sums, alpha, z), weights(target, raw, 1, sums, alpha, z), ids)
+    parts = [(slice(0, words_of(buckets)), z), (slice(words_of(buckets), None), z_pairs)]
+
+    def both(own: int) -> np.ndarray:
+        return np.concatenate([weights(target[p], raw[p], own, (float(target[p].sum()), float(raw[p].sum())), alpha, least) for p, least in parts])
+
+    return Model(both(0), both(1), ids)
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -141,15 +157,21 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return _shared.narrow(docs).mapInArrow(_score(held, len(model.raw_weights)), "doc_id bigint, log_ratio double")
 
 
+def _step(score: F.Column) -> F.Column:
+    """Scores in steps of 0.05 up to 100 either way, and of about 0.05 % beyond: as many steps as the largest logarithm."""
+    size = F.abs(score)
+    return F.floor(20 * F.when(size <= 100, score).otherwise(F.signum(score) * 100 * (1 + F.log(F.greatest(size, F.lit(1.0)) / 100))))
+
+
 def best_threshold(scored: DataFrame, labels: DataFrame) -> float | None:
-    """The score, to 0.05, at which the shares of good kept and of others rejected have the largest sum."""
-    held = scored.join(good_labels(labels), "doc_id").select(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.floor(F.col("log_ratio") * 20) / 20)).alias("at"), "good")
-    rows = sorted((r["at"], r["n"], r["g"]) for r in held.groupBy("at").agg(F.count("*").alias("n"), F.count_if("good").alias("g")).collect())
-    good, bad = sum(g for _, _, g in rows), sum(n - g for _, n, g in rows)
+    """A score at which the shares of good kept and of others rejected have the largest sum, in small steps of scores."""
+    held = scored.join(good_labels(labels), "doc_id").select(_step(F.col("log_ratio")).alias("step"), "log_ratio", "good")
+    rows = sorted((r["step"], r["at"], r["n"], r["g"]) for r in held.groupBy("step").agg(F.min("log_ratio").alias("at"), F.count("*").alias("n"), F.count_if("good").alias("g")).collect())
+    good, bad = sum(r[3] for r in rows), sum(r[2] - r[3] for r in rows)
     if not good or not bad:
         return None
-    best, at, lost, out = -1.0, rows[0][0], 0, 0
-    for value, n, g in rows:
+    best, at, lost, out = -1.0, rows[0][1], 0, 0
+    for _, value, n, g in rows:
         if (now := (good - lost) / good + out / bad) > best:
             best, at = now, value
         lost, out = lost + g, out + n - g
@@ -187,8 +209,10 @@ def gumbel(seed: int) -> F.Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.05, seed: int = 7, **options) -> DataFrame:
-    """`(doc_id, log_ratio)` of the documents kept: the k of largest log_ratio + temperature * Gumbel noise.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 7, **options) -> DataFrame:
+    """`(doc_id, log_ratio)` of the documents kept: the k of largest log_ratio + temperature * standard Gumbel noise.
+
+    The noise of a document is fixed by its id and `seed`, so that runs are repeatable.
 
     Without `k` it is the number of documents whose score is at least the best threshold on the labels; without good
     or without bad labels all stay. Null and empty texts score 0. Rows with a null id are left out. Rows equal to the

@@ -1,6 +1,10 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from loomsearch.llm import quality
 
@@ -77,3 +81,84 @@ def test_weak_evidence_counts_a_little():
     raw, target = np.array([4, 400, 10_000]), np.array([0, 0, 4_000])
     w = quality.weights(target, raw, 0, (4_000.0, 10_404.0), 2.0, 3.0)
     assert w[1] < w[0] < 0
+
+
+def slow_scores(rows, labels, buckets, alpha=2.0, z=3.0, z_pairs=12.0):
+    """Counts and log ratios one document and feature at a time."""
+    told = {}
+    for d, q, x in labels:
+        if None not in (d, q, x):
+            told[d] = told.get(d, True) and q == 1 and x == 0
+    of = {}
+    for d, t in rows:
+        if d is not None:
+            of.setdefault((d, t), [int(f) for _, _, fs in quality.features(pa.array([t or ""]), buckets) for f in fs])
+    every = [(d, of[d, t]) for d, t in rows if d is not None]
+    words = quality.words_of(buckets)
+    raw, target = Counter(f for _, fs in every for f in fs), Counter(f for d, fs in every for f in fs if told.get(d))
+    out = []
+    for d, fs in every:
+        total = 0.0
+        for f in fs:
+            part, least = ((lambda g: g < words), z) if f < words else ((lambda g: g >= words), z_pairs)
+            whole, good = sum(n for g, n in raw.items() if part(g)), sum(n for g, n in target.items() if part(g))
+            size = words if f < words else buckets - words
+            if not good:
+                continue
+            a, b, share = max(target[f] - bool(told.get(d)), 0), max(raw[f] - 1, 0), good / whole
+            ratio = math.log((a + alpha * share) / (good + alpha * share * size)) - math.log((b + alpha) / (whole + alpha * size))
+            total += ratio * min(1, abs(a - b * share) / (least * math.sqrt(b * share + 1))) ** 2
+        out.append((d, total))
+    return out
+
+
+def test_scores_and_sample_equal_the_slow_version(spark, docs_of):
+    rows, labels = corpus(60, 5)
+    rows = [(i, " ".join(t.split()[: 1 + i % 25])) for i, t in rows] + [(None, "g1"), (70, None), (71, ""), (72, "G1, g1. B2!!"), (72, "G1, g1. B2!!")]
+    labels += [(72, 1, 0), (None, 1, 0), (3, None, 0)]
+    docs, said = docs_of(rows), labels_of(spark, labels)
+    expected = sorted(slow_scores(rows, labels, 600))
+    model = quality.fit(docs, said, buckets=600)
+    got = sorted(map(tuple, quality.scores(docs, model).collect()))
+    assert [d for d, _ in got] == [d for d, _ in expected] and [s for _, s in got] == pytest.approx([s for _, s in expected], abs=1e-4)
+    noise = {r[0]: r[1] for r in docs.where("doc_id is not null").select("doc_id", quality.gumbel(7)).collect()}
+    keys = sorted(((s + noise[d], d) for d, s in got), reverse=True)
+    for k in (1, 20, 50):
+        least = keys[k - 1][0]
+        kept = sorted(r["doc_id"] for r in quality.resample(docs, said, k=k, buckets=600).collect())
+        assert kept == sorted(d for v, d in keys if v >= least)
+
+
+def test_noise_is_standard_gumbel(spark):
+    from pyspark.sql import functions as F
+
+    mean, sd = spark.range(20_000).withColumnRenamed("id", "doc_id").select(quality.gumbel(7).alias("g")).agg(F.avg("g"), F.stddev("g")).first()
+    assert abs(mean - 0.5772) < 0.03 and abs(sd - math.pi / math.sqrt(6)) < 0.03
+
+
+def test_sampling_goes_by_the_ratio(spark):
+    """Of two kinds of documents whose log ratios differ by log 3, the share drawn first follows the ratio."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(40_000).withColumn("doc_id", F.col("id")).withColumn("v", F.when(F.col("id") % 2 == 0, math.log(3)).otherwise(0.0) + quality.gumbel(7))
+    first = df.orderBy(F.desc("v")).limit(1000)
+    assert abs(first.where("id % 2 = 0").count() / 1000 - 0.75) < 0.05
+
+
+def test_documents_that_differ_in_word_pairs_only(spark, docs_of):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(24)]
+    rows, labels = [], []
+    for i in range(400):
+        pairs = [(words[k], words[(k + (1 if i % 3 else 7)) % 24]) for k in r.sample(range(24), 20)]
+        rows.append((i, " ".join(f"{a} {b}" for a, b in pairs)))
+        labels.append((i, int(i % 3 > 0), 0))
+    kept = {x["doc_id"] for x in quality.resample(docs_of(rows), labels_of(spark, labels[:300]), buckets=1 << 14).collect()}
+    right = sum((i in kept) == (i % 3 > 0) for i in range(300, 400))
+    assert right >= 95
+
+
+def test_steps_of_large_scores(spark, docs_of):
+    scored = spark.createDataFrame([(i, float(1000 + i if i % 2 else 900 + i)) for i in range(40)], "doc_id bigint, log_ratio double")
+    at = quality.best_threshold(scored, labels_of(spark, [(i, i % 2, 0) for i in range(40)]))
+    assert 938 < at <= 1001
