@@ -8,11 +8,7 @@ from loomsearch.llm._shared import read_table
 
 
 def op9_url_filter(spark, sf_dir):
-    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
-
-
-def url_lists(spark, sf_dir):
-    """op9 over the lists of unwanted domains, hosts and paths."""
+    """The package's lists of unwanted domains, hosts and paths over all pages."""
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.listed_rules(spark))
 
 
@@ -62,7 +58,6 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
-    "url_lists": url_lists,
     "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }

@@ -18,25 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_RULES = [
-    (1, "org", "allow"),
-    (2, "example.net", "block"),
-    (3, "tionsh.example.net", "allow"),
-    (4, "tionsh.example.net/fr/", "block"),
-    (5, "tionsh.example.net/fr/2", "allow"),
-    (6, "example.com", "allow"),
-    (7, "blog.tionble.example.com", "block"),
-    (8, "blog.tionble.example.com/en/", "allow"),
-    (9, "m.tiontion.example.com", "block"),
-    (10, "ththon.example.com/de/", "block"),
-    (11, "example.org", "allow"),
-    (12, "blog.ththth.example.org", "block"),
-    (13, "blog.ththth.example.org/en/1", "allow"),
-    (14, "m.thther.example.org/es", "block"),
-    (15, "ththan.example.net/en/", "allow"),
-    (16, "www.ththes.example.net", "allow"),
-    (17, "example.net", "review"),
-]
+from loomsearch.llm import _pairs
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url_key", pa.string()), ("rule_id", pa.int64()), ("action", pa.string()), ("depth", pa.int64())])
 _TOP = "\U0010ffff"
@@ -71,23 +53,23 @@ def _boundaries(keys: DataFrame, parts: int) -> list[str]:
     return sorted({found[len(found) * i // parts] for i in range(1, parts)})
 
 
-def _place_pages(bounds: list[str]):
+def _place_pages(bounds: list[str], numbers: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(1).to_pylist()
-            pid = [0 if k is None else bisect_right(bounds, k) for k in keys]
+            pid = [numbers[0 if k is None else bisect_right(bounds, k)] for k in keys]
             n = b.num_rows
             yield pa.record_batch([pa.array(pid, pa.int32()), b.column(1), pa.array([1] * n, pa.int32()), b.column(0), pa.nulls(n, pa.string())], names=["pid", "key", "kind", "id", "action"])
 
     return run
 
 
-def _place_rules(bounds: list[str]):
+def _place_rules(bounds: list[str], numbers: list[int]):
     """A rule goes to every range that its interval meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, r["key"], 0, r["rule_id"], r["action"]) for r in b.to_pylist() for p in range(bisect_right(bounds, r["key"]), bisect_left(bounds, r["key"] + _TOP) + 1)]
+            rows = [(numbers[p], r["key"], 0, r["rule_id"], r["action"]) for r in b.to_pylist() for p in range(bisect_right(bounds, r["key"]), bisect_left(bounds, r["key"] + _TOP) + 1)]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string()))], names=["pid", "key", "kind", "id", "action"])
 
@@ -115,7 +97,7 @@ def _sweep(default: str):
                         else:
                             stack.append((key, ident, action, 1))
                         continue
-                    row = (ident, key, stack[-1][1], stack[-1][2], active) if stack else (ident, key, None, default, 0)
+                    row = (ident, key, stack[-1][1], default if stack[-1][2] is None else stack[-1][2], active) if stack else (ident, key, None, default, 0)
                 for o, v in zip(out, row):
                     o.append(v)
             yield pa.record_batch([pa.array(o, f.type) for o, f in zip(out, _OUT)], schema=_OUT)
@@ -128,7 +110,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     The longest rule that covers the page decides; among rules with the same prefix the smallest rule_id. depth counts
     all rules that cover it. Pages without a rule, and null URLs, get a null rule_id, the default action and depth 0.
-    Rules with a null or blank pattern or a null id are left out; repeated rules count each. Page rows with equal ids
+    Rules with a null or blank pattern or a null id are left out; repeated rules count each; a null action is the default. Page rows with equal ids
     or a null id are kept. Columns of other names are ignored.
     """
     spark = pages.sparkSession
@@ -136,20 +118,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     keyed = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url_key(F.col(url_col)).alias("url_key"))
     bounds = _boundaries(keyed.select("url_key").where("url_key is not null"), parts)
     rule_keys = rules.select(F.col("rule_id").cast("bigint").alias("rule_id"), rule_prefix(F.col("pattern")).alias("key"), F.col("action").cast("string").alias("action"), "pattern").where("rule_id is not null and trim(pattern) <> ''").drop("pattern")
+    numbers = _pairs.buckets(spark, parts)  # each range is a task of its own
     kinds = "pid int, key string, kind int, id bigint, action string"
-    both = keyed.mapInArrow(_place_pages(bounds), kinds).unionByName(rule_keys.mapInArrow(_place_rules(bounds), kinds))
+    both = keyed.mapInArrow(_place_pages(bounds, numbers), kinds).unionByName(rule_keys.mapInArrow(_place_rules(bounds, numbers), kinds))
     swept = both.repartition(parts, "pid").sortWithinPartitions("pid", "key", "kind", "id")
     return swept.mapInArrow(_sweep(default), "page_id bigint, url_key string, rule_id bigint, action string, depth bigint")
 
 
-def default_rules(spark) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_RULES, "rule_id bigint, pattern string, action string")
+_LISTS = Path(__file__).with_name("url_lists.csv")
 
 
-def listed_rules(spark, path: Path | str = Path(__file__).with_name("url_lists.csv")) -> DataFrame:
-    """`(rule_id, pattern, action, category)` of a CSV file with these columns; the file of this package by default."""
+def _listed(path: Path | str) -> list[tuple[int, str, str, str]]:
     with open(path, newline="", encoding="utf-8") as f:
-        rows = [(int(r["rule_id"]), r["pattern"], r["action"], r["category"]) for r in csv.DictReader(f)]
+        return [(int(r["rule_id"]), r["pattern"], r["action"], r["category"]) for r in csv.DictReader(f)]
+
+
+def listed_rules(spark, path: Path | str = _LISTS) -> DataFrame:
+    """`(rule_id, pattern, action, category)` of a CSV file with these columns; the file of this package by default."""
+    rows = _listed(path)
     return spark.createDataFrame(rows, "rule_id bigint, pattern string, action string, category string")
 
 
@@ -159,7 +145,7 @@ _SQL_KEY = r"""
    FROM (SELECT rest, regexp_extract(rest, '^[^/?]*', 0) AS authority FROM (SELECT regexp_replace(regexp_replace(trim({0}), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#[\s\S]*$', '') AS rest))))"""
 
 ORACLE = f"""
-WITH rules(rule_id, pattern, action) AS (VALUES {", ".join(f"({i}, '{p}', '{a}')" for i, p, a in DEFAULT_RULES)}),
+WITH rules(rule_id, pattern, action) AS (VALUES {", ".join(f"({i}, '{p}', '{a}')" for i, p, a, _ in _listed(_LISTS))}),
 prefixes AS (SELECT rule_id, action, CASE WHEN contains(pattern, '/') THEN k ELSE regexp_extract(k, '^[^)]*', 0) END AS prefix FROM (SELECT *, {_SQL_KEY.format("pattern")} AS k FROM rules)),
 keyed AS (SELECT row_number() OVER () AS n, page_id, {_SQL_KEY.format("url")} AS url_key FROM pages),
 hit AS (SELECT n, count(*) AS depth, first(rule_id ORDER BY length(prefix) DESC, rule_id) AS rule_id, first(action ORDER BY length(prefix) DESC, rule_id) AS action FROM keyed JOIN prefixes ON starts_with(url_key, prefix) GROUP BY n)
