@@ -2,11 +2,14 @@ import random
 import re
 from collections import defaultdict
 
-from loomsearch.llm import line_dedup
+import numpy as np
+import pyarrow as pa
+
+from loomsearch.llm import _bloom, line_dedup
 
 
 def masked(line):
-    return " ".join(line_dedup.WILD if re.search("[0-9]", w) else w for w in line.split())
+    return " ".join(line_dedup.WILD if re.search("[0-9]", w) else w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", line) if w)
 
 
 def brute(rows, min_docs=10, similarity=0.9, lead=2):
@@ -27,6 +30,8 @@ def brute(rows, min_docs=10, similarity=0.9, lead=2):
         for m in lines:
             tokens = m.split(" ")
             need = -int(-len(tokens) * similarity // 1)
+            if len(tokens) >= lead + 2:
+                need = min(need, len(tokens) - 1)
             for tpl in templates:
                 if sum(a == b for a, b in zip(tpl[0], tokens)) >= need:
                     tpl[0] = [a if a == b else line_dedup.WILD for a, b in zip(tpl[0], tokens)]
@@ -112,3 +117,36 @@ def test_blocks_find_all_that_a_full_comparison_finds():
 def test_empty(docs_of):
     assert line_dedup.dropped_lines(docs_of([])).count() == 0
     assert line_dedup.drop_recurring(docs_of([])).count() == 0
+
+
+def test_lines_are_split_as_the_slow_version_does():
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab1é \t\n\r\x0b\u00a0<*>") for _ in range(r.randrange(0, 60))) for _ in range(300)] + ["", "\n\n", "x"]
+    names = {}
+    for most in (1, 50, 1 << 19):
+        got = []
+        for own in line_dedup.lines(pa.array(texts), 2, most):
+            for i in range(len(own.row)):
+                got.append((int(own.row[i]), int(own.number[i]), own.masked(i)))
+                assert names.setdefault(own.masked(i), own.hashes[i]) == own.hashes[i]
+                t = own.masked(i).split(" ")
+                assert names.setdefault((len(t), *t[:2]), own.leaf[i]) == own.leaf[i]
+        assert got == [(d, n, masked(x)) for d, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if masked(x)]
+    assert len({int(h) for h in names.values()}) == len(names)
+
+
+def test_one_leaf_with_most_lines(docs_of, monkeypatch):
+    """Small buffers, and a leaf that holds nearly all lines."""
+    monkeypatch.setattr(line_dedup, "DISTINCT", 5)
+    r = random.Random(10)
+    rows = [(i, "\n".join(f"at once {r.choice('abc')} {r.choice('xy')} {r.choice('pqrs')} went" for _ in range(5))) for i in range(120)]
+    got = sorted({tuple(x) for x in line_dedup.dropped_lines(docs_of(rows)).collect()})
+    assert got == brute(rows) and len(got) > 100
+
+
+def test_filters_hold_all_keys(spark):
+    keys = [r_ * 7919 - 50_000 for r_ in range(3000)]
+    held = _bloom.build(spark.createDataFrame([(k,) for k in keys], "k bigint"))
+    others = np.arange(1 << 40, (1 << 40) + 100_000)
+    assert _bloom.passes(held, np.array(keys)).all() and _bloom.passes(held, others).mean() < 0.1
+    assert not _bloom.passes(_bloom.build(spark.createDataFrame([], "k bigint")), others).any()
