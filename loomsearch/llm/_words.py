@@ -40,6 +40,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a plain sort is many times faster than `np.unique`, which hashes."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 @dataclass
 class Chunk:
     """Words of consecutive documents: `hashes[offsets[i]:offsets[i + 1]]` are those of row `first + i`."""

@@ -63,7 +63,7 @@ def features(texts: pa.Array, buckets: int, most: int = 1 << 18) -> Iterator[tup
             for n in (1, 2):
                 grams, off = _words.ngrams(shapes, n)
                 found.append(np.repeat(np.arange(chunk.rows), np.diff(off)) * buckets + (grams % np.uint64(most_words)).astype(np.int64))
-        both = np.unique(np.concatenate(found))
+        both = _words.distinct(np.concatenate(found))
         yield i, both // buckets, both % buckets
         i = j
 

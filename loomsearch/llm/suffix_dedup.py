@@ -52,7 +52,7 @@ def seeds(chunk: _words.Chunk, length: int, k: int) -> tuple[np.ndarray, np.ndar
     starts = np.arange(m)
     row = np.searchsorted(chunk.offsets, starts, "right") - 1
     inside = starts + length <= chunk.offsets[row + 1]
-    at = np.unique((low[inside] & mask).astype(np.int64))
+    at = _words.distinct((low[inside] & mask).astype(np.int64))
     row = np.searchsorted(chunk.offsets, at, "right") - 1
     return row, at - chunk.offsets[row], grams[at]
 
