@@ -22,20 +22,44 @@ def positions(docs: DataFrame, key: str, content: str = "text") -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, content: str = "text") -> DataFrame:
-    """`(key, term, tf)`; the count is combined on the map side before the only shuffle."""
-    return token_arrays(docs, key, content).select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """`(key, term, tf)`; the count is combined on the map side before the only shuffle.
+
+    Lexemes are exploded before they are analysed, so that plain words stay in generated code.
+    """
+    lexemes = docs.select(key, F.explode(text.lexemes(F.col(content))).alias("_lexeme"))
+    each = lexemes.select(key, F.explode(text.identifier_stream(F.col("_lexeme"))).alias("term"))
+    return each.where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+MOST_TERMS = 1024  # distinct query terms that are put into a plan; more are joined
+
+
+def few_terms(terms: DataFrame, most: int = MOST_TERMS) -> list[str] | None:
+    """The distinct terms of `terms(term)`, or None where there are more than `most`."""
+    found = [r[0] for r in terms.select("term").distinct().limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
+
+
+def vocabulary(docs: DataFrame, key: str, content: str = "text") -> DataFrame:
+    """One row: how many distinct terms there are; only terms are shuffled, once from each task."""
+    each = docs.select(F.explode(text.lexemes(F.col(content))).alias("_lexeme")).distinct()
+    return each.select(F.explode(text.identifier_stream(F.col("_lexeme"))).alias("term")).distinct().agg(F.count("*").alias("vocabulary"))
 
 
 def query_postings(docs: DataFrame, key: str, terms: DataFrame, content: str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings of the terms of `terms(term)` only, and `(key, length)` of all documents; one pass for both.
 
-    Tokens of other terms are dropped before the shuffle. The view kept in between has a few numbers a document; if an
-    executor is lost, its part is computed again.
+    With up to `MOST_TERMS` distinct terms, tokens of others are dropped before the shuffle, and the view kept in
+    between has a few numbers a document; if an executor is lost, its part is computed again. With more terms, both
+    come from all postings, whose one shuffle Spark uses twice.
     """
-    wanted = terms.select("term").distinct()
-    one = wanted.agg(F.collect_set("term").alias("_wanted"))
-    view = token_arrays(docs, key, content).crossJoin(F.broadcast(one)).select(key, F.size("tokens").cast("bigint").alias("length"), F.filter("tokens", lambda t: F.array_contains("_wanted", t)).alias("hits"))
-    view = view.persist()
+    wanted = few_terms(terms)
+    if wanted is None:
+        posts = postings(docs, key, content)
+        lengths = docs.select(key).join(posts.groupBy(key).agg(F.sum("tf").alias("length")), key, "left").select(key, F.coalesce("length", F.lit(0)).cast("bigint").alias("length"))
+        return posts.join(terms.select("term").distinct(), "term", "left_semi"), lengths
+    hits = F.filter("tokens", lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")
+    view = token_arrays(docs, key, content).select(key, F.size("tokens").cast("bigint").alias("length"), hits.alias("hits")).persist()
     posts = view.select(key, F.explode("hits").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return posts, view.select(key, "length")
 
@@ -45,9 +69,12 @@ def query_field_postings(fields: DataFrame, terms: DataFrame) -> tuple[DataFrame
 
     Like `query_postings`, one pass over the tokens serves both; empty fields are absent.
     """
-    one = terms.select("term").distinct().agg(F.collect_set("term").alias("_wanted"))
-    there = fields.where(F.size("tokens") > 0).crossJoin(F.broadcast(one))
-    view = there.select("doc_id", "field", F.size("tokens").cast("bigint").alias("length"), F.filter("tokens", lambda t: F.array_contains("_wanted", t)).alias("hits")).persist()
+    there = fields.where(F.size("tokens") > 0)
+    wanted = few_terms(terms)
+    if wanted is None:
+        return field_frequencies(there).join(terms.select("term").distinct(), "term", "left_semi"), there.select("doc_id", "field", F.size("tokens").cast("bigint").alias("length"))
+    hits = F.filter("tokens", lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")
+    view = there.select("doc_id", "field", F.size("tokens").cast("bigint").alias("length"), hits.alias("hits")).persist()
     posts = view.select("doc_id", "field", F.explode("hits").alias("term")).groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"))
     return posts, view.select("doc_id", "field", "length")
 

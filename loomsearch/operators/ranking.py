@@ -77,11 +77,15 @@ def cosine(terms: DataFrame, posts: DataFrame, stats: Stats, norms: DataFrame) -
     return summed.join(norms, "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("score") / (F.col("qnorm") * F.col("norm"))).alias("score"))
 
 
-def query_likelihood(terms: DataFrame, posts: DataFrame, stats: Stats, vocabulary: DataFrame, mu: float | None = 1500.0, lam: float = 0.2) -> DataFrame:
+def query_likelihood(terms: DataFrame, posts: DataFrame, stats: Stats, vocabulary: DataFrame, mu: float | None = 1500.0, lam: float = 0.2, k: int | None = None) -> DataFrame:
     """Dirichlet smoothing, or Jelinek-Mercer where `mu` is None. Every document is scored.
 
     Only documents with a term are touched by name: the score of a document is the sum over all terms of what it would
     be at tf = 0, which depends on its length alone, plus differences for the terms it has.
+
+    With `k`, documents that can't be among the first k of their query are left out, so that queries and documents
+    aren't crossed: without a term, a document's score falls with its length (Dirichlet) or is the same for all, so
+    beside documents with a term only the k shortest, or those of smallest id, come into question.
     """
     dfs = posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("tf").alias("cf"))
     p = F.when(F.col("total") == 0, F.lit(TINY)).when(F.col("cf") > 0, F.col("cf") / F.col("total")).otherwise(1 / (F.col("total") + F.col("vocabulary") + 1))
@@ -92,8 +96,14 @@ def query_likelihood(terms: DataFrame, posts: DataFrame, stats: Stats, vocabular
         return F.log(F.greatest(raw, F.lit(TINY)))
 
     each = known.groupBy("query_id").agg(F.collect_list(F.struct("weight", "p")).alias("all"))
-    base = stats.lengths.crossJoin(each).select("query_id", "doc_id", F.aggregate("all", F.lit(0.0), lambda acc, t: acc + t["weight"] * chance(F.lit(0.0), F.col("length"), t["p"])).alias("part"))
     hits = posts.join(known, "term").join(stats.lengths, "doc_id")
+    if k is None:
+        pairs = stats.lengths.crossJoin(each)
+    else:
+        few = stats.lengths.orderBy(*(["length", "doc_id"] if mu is not None else ["doc_id"])).limit(k)
+        some = hits.select("query_id", "doc_id", "length").unionByName(each.select("query_id").crossJoin(F.broadcast(few))).distinct()
+        pairs = some.join(each, "query_id")
+    base = pairs.select("query_id", "doc_id", F.aggregate("all", F.lit(0.0), lambda acc, t: acc + t["weight"] * chance(F.lit(0.0), F.col("length"), t["p"])).alias("part"))
     more = hits.select("query_id", "doc_id", (F.col("weight") * (chance(F.col("tf"), F.col("length"), F.col("p")) - chance(F.lit(0.0), F.col("length"), F.col("p")))).alias("part"))
     return base.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 

@@ -8,9 +8,10 @@ import re._constants as C
 import re._parser as sre
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsearch.functions import text
@@ -122,9 +123,16 @@ def literal_plan(literal: str) -> All | And:
 
 
 def trigram_postings(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """`(gram, doc_id)`, distinct within each document, so nothing is shuffled."""
-    chars = docs.select(F.col(key).alias("doc_id"), F.split(F.coalesce(content, F.lit("")), "").alias("chars"))
-    return chars.select("doc_id", F.explode(F.array_distinct(text.trigrams(F.filter("chars", lambda c: c != "")))).alias("gram"))
+    """`(gram, doc_id)`, distinct within each document, so nothing is shuffled.
+
+    One pass of a look-ahead over the text gives all windows; texts with characters beyond the basic plane, which a
+    matcher steps through by halves, are cut into characters first.
+    """
+    body = F.coalesce(F.col(content), F.lit(""))
+    windows = F.regexp_extract_all(body, F.lit("(?s)(?=(...))"), F.lit(1))
+    slow = text.trigrams(F.filter(F.split(body, ""), lambda c: c != ""))
+    grams = F.when(body.rlike(r"[\x{10000}-\x{10FFFF}]"), slow).otherwise(windows)
+    return docs.select(F.col(key).alias("doc_id"), F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def plan_trigrams(planned: All | And | Or) -> list[str]:
@@ -186,34 +194,39 @@ def select(planned: All | And | Or, posts: DataFrame, ids: DataFrame, corpus: in
     return Selection(hits.where(F.col("k") == len(distinct)).select("doc_id"), corpus, tuple(chosen), False)
 
 
-def line_range(data: bytes, start: int, end: int) -> tuple[int, int]:
-    """Lines, from 1, of a byte range; the end counts breaks before the exclusive end."""
-    first = data.count(b"\n", 0, start) + 1
-    return first, first if start == end else data.count(b"\n", 0, end) + 1
+def required(planned: All | And | Or, body: Column) -> Column | None:
+    """A condition in the JVM that every text with a match fulfils; None if the plan asks for nothing."""
+    if isinstance(planned, And):
+        return reduce(lambda a, b: a & b, [F.contains(body, F.lit(t)) for t in sorted(set(planned.trigrams))[:MOST_TRIGRAMS]])
+    if isinstance(planned, Or):
+        return reduce(lambda a, b: a | b, [required(p, body) for p in planned.branches])
+    return None
 
 
 def verified(docs: DataFrame, key: str, content: str, pattern: str, literal: bool = False) -> DataFrame:
     """`(doc_id, byte_start, byte_end, line_start, line_end, matched_text)` of all leftmost matches without overlap.
 
-    A JVM filter keeps what doesn't match from reaching Python where the pattern is a literal.
+    Lines count from 1; the last is that of the byte before the end. A JVM filter, of the literal or of trigrams that
+    the pattern needs, keeps most of what doesn't match from reaching Python.
     """
     compiled = re.compile(re.escape(pattern)) if literal else checked(pattern)
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(content).alias("body")).where("body is not null")
-    if literal:
-        source = source.where(F.contains("body", F.lit(pattern)))
+    needs = F.contains("body", F.lit(pattern)) if literal else required(plan(pattern), F.col("body"))
+    if needs is not None:
+        source = source.where(needs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
             for doc, body in zip(df["doc_id"], df["body"]):
-                data = at = None
+                at = done = 0
+                line = 1
                 for m in compiled.finditer(body):
-                    if data is None:
-                        data, at, done = body.encode(), 0, 0
-                    at += len(body[done : m.start()].encode())
+                    between = body[done : m.start()]
+                    at += len(between.encode())
+                    line += between.count("\n")
                     done = m.start()
-                    end = at + len(m.group().encode())
-                    out.append((doc, at, end, *line_range(data, at, end), m.group()))
+                    out.append((doc, at, at + len(m.group().encode()), line, line + m.group().count("\n"), m.group()))
             yield pd.DataFrame(out, columns=["doc_id", "byte_start", "byte_end", "line_start", "line_end", "matched_text"])
 
     return source.mapInPandas(run, f"doc_id bigint, {MATCH}")
@@ -349,10 +362,3 @@ def refresh(posts: DataFrame, changed: DataFrame, removed: DataFrame, key: str,
     """Postings without changed and removed documents, and with the changed ones as they are now."""
     gone = changed.select(F.col(key).alias("doc_id")).unionByName(removed.select(F.col(key).alias("doc_id"))).distinct()
     return posts.join(gone, "doc_id", "left_anti").unionByName(trigram_postings(changed, key, content))
-
-
-def running_budget(sizes: DataFrame, corpus: int) -> DataFrame:
-    """Posting sizes `(gram, n)` in planning order with their running sum, and which are chosen."""
-    order = Window.orderBy("n", "gram")
-    ranked = sizes.withColumn("work", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("i", F.row_number().over(order))
-    return ranked.withColumn("chosen", (F.col("work") < corpus) & (F.col("i") <= MOST_TRIGRAMS)).drop("i")

@@ -10,14 +10,18 @@ from loomsearch.functions.oracle import parts_sql, tokens_cte
 from loomsearch.operators import fields, index
 
 
+SCAN_BYTES = 64 << 20  # a table of more bytes a core is read as it lies
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts. If it has fewer files than there are cores, rows are spread over the cores, as analysis costs more."""
+    """A table of texts. A small one, of which there are fewer scan tasks than cores, is spread over the cores, as analysis costs more."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < cores * SCAN_BYTES else df
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +41,9 @@ def tok_ngram2(spark, sf_dir):
 
 
 def ident_split(spark, sf_dir):
-    """Parts of the lexemes of page addresses."""
-    lex = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.lexemes(F.col("url"))).alias("n", "lexeme"))
-    return lex.select("page_id", "n", "lexeme", F.posexplode(text.identifier_stream(F.col("lexeme"))).alias("i", "token"))
+    """Parts of the lexemes of whole documents."""
+    lex = docs(spark, sf_dir).select("doc_id", F.posexplode(text.lexemes(F.col("text"))).alias("n", "lexeme"))
+    return lex.select("doc_id", "n", "lexeme", F.posexplode(text.identifier_stream(F.col("lexeme"))).alias("i", "token"))
 
 
 def prose_tf(spark, sf_dir):
@@ -84,25 +88,12 @@ def doc_norms(spark, sf_dir):
 
 
 def positional_postings(spark, sf_dir):
-    """Postings of titles with their positions as text, and the gaps between them."""
-    titled = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    made = index.positional_postings(titled.select(F.col("page_id").alias("doc_id"), F.lit("content").alias("field"), text.code_tokens(F.col("title")).alias("tokens")))
-    return made.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
-
-
-def ident_split_text(spark, sf_dir):
-    """Parts of the lexemes of whole documents."""
-    lex = docs(spark, sf_dir).select("doc_id", F.posexplode(text.lexemes(F.col("text"))).alias("n", "lexeme"))
-    return lex.select("doc_id", "n", "lexeme", F.posexplode(text.identifier_stream(F.col("lexeme"))).alias("i", "token"))
-
-
-def positional_postings_text(spark, sf_dir):
     """Postings of whole documents with their positions as text."""
     made = index.positional_postings(docs(spark, sf_dir).select("doc_id", F.lit("content").alias("field"), text.code_tokens(F.col("text")).alias("tokens")))
     return made.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
-QUERIES = {f.__name__: f for f in (tok_code_tf, tok_ngram2, ident_split, ident_split_text, prose_tf, doc_lengths, field_lengths, df_cf, corpus_stats, top_terms, doc_norms, positional_postings, positional_postings_text)}
+QUERIES = {f.__name__: f for f in (tok_code_tf, tok_ngram2, ident_split, prose_tf, doc_lengths, field_lengths, df_cf, corpus_stats, top_terms, doc_norms, positional_postings)}
 
 TOKENS = tokens_cte()
 TF = f"WITH {TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL)"
@@ -121,10 +112,10 @@ ORACLES = {
     "tok_code_tf": f"{TF} SELECT * FROM tf",
     "tok_ngram2": f"WITH {TOKENS}, pairs AS (SELECT doc_id, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS gram FROM tokens) SELECT doc_id, gram, count(*) AS tf FROM pairs WHERE gram IS NOT NULL GROUP BY ALL",
     "ident_split": f"""
-WITH lex AS (SELECT page_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS n FROM (SELECT page_id, regexp_extract_all(url, '[A-Za-z0-9_-]+') AS l FROM pages)),
-p AS (SELECT page_id, n, s, [lower(s), array_to_string({parts_sql()}, '')] || {parts_sql()} AS l FROM lex),
-d AS (SELECT page_id, n, s, list_filter(l, lambda x, k: list_position(l, x) = k) AS l FROM p)
-SELECT page_id, n, s AS lexeme, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS token FROM d""",
+WITH lex AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_-]+') AS l FROM documents)),
+p AS (SELECT doc_id, n, s, [lower(s), array_to_string({parts_sql()}, '')] || {parts_sql()} AS l FROM lex),
+d AS (SELECT doc_id, n, s, list_filter(l, lambda x, k: list_position(l, x) = k) AS l FROM p)
+SELECT doc_id, n, s AS lexeme, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS token FROM d""",
     "doc_lengths": f"{LENGTHS} SELECT doc_id, length, n_docs, avg_length FROM lengths, (SELECT count(*) AS n_docs, round(avg(length), 6) AS avg_length FROM lengths)",
     "field_lengths": f"{FIELD_TOKENS}, l AS (SELECT k, count(*) AS length FROM ft GROUP BY k) SELECT field, count(*) AS docs, sum(length)::BIGINT AS total, round(sum(length) / (SELECT count(*) FROM pages), 6) AS avg_length FROM l JOIN fielded USING (k) GROUP BY field",
     "df_cf": f"{TF} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term",
@@ -133,6 +124,5 @@ SELECT (SELECT count(*) FROM lengths) AS n_docs, (SELECT sum(length)::BIGINT FRO
     "top_terms": f"{TF} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term ORDER BY cf DESC, df DESC, term LIMIT 20",
     "doc_norms": f"""{TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, round(sqrt(sum(pow(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 0.5)), 2))), 6) AS norm FROM tf JOIN d USING (term) GROUP BY doc_id""",
-    "positional_postings": f"""WITH titled AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages), {tokens_cte("titled", "page_id", "title")}
-SELECT term, page_id AS doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tokens GROUP BY ALL""",
+    "positional_postings": f"WITH {TOKENS} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tokens GROUP BY ALL",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomsearch.operators import index, postings_codec
 from loomsearch.operators import regex_search as rx
-from loomsearch.plans.lexical import TF, docs, table, texts
+from loomsearch.plans.lexical import TF, docs, texts
 
 LITERAL = "General Public"
 PATTERN = r'href="/[A-Za-z]+"'
@@ -19,7 +19,7 @@ def _pages(spark, sf_dir):
 
 
 def trigram_df(spark, sf_dir):
-    posts = rx.trigram_postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    posts = rx.trigram_postings(docs(spark, sf_dir), "doc_id", "text")
     return posts.groupBy("gram").agg(F.count("*").alias("df"))
 
 
@@ -59,12 +59,12 @@ def masked_candidates(spark, sf_dir):
 
 
 def sparse_candidates(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    return rx.sparse_candidates(rx.sparse_postings(items, "item_id", "text"), items.select(F.col("item_id").alias("doc_id")), "heention")
+    d = docs(spark, sf_dir)
+    return rx.sparse_candidates(rx.sparse_postings(d, "doc_id", "text"), d.select("doc_id"), LITERAL)
 
 
 def sparse_comparison(spark, sf_dir):
-    return rx.sparse_comparison(table(spark, sf_dir, "benchmark"), "item_id", "text", "heention")
+    return rx.sparse_comparison(docs(spark, sf_dir), "doc_id", "text", LITERAL)
 
 
 def posting_intersect(spark, sf_dir):
@@ -92,7 +92,9 @@ _PAGES = "src AS (SELECT page_id, coalesce(html, '') AS body FROM pages)"
 _BRANCHES = ", ".join(_chosen(i, "page_id", "src", b.trigrams) for i, b in enumerate(rx.plan(BRANCHES).branches))
 
 ORACLES = {
-    "trigram_df": "WITH g AS (SELECT DISTINCT item_id, substr(text, i, 3) AS gram FROM (SELECT *, unnest(generate_series(1, length(text) - 2)) AS i FROM benchmark)) SELECT gram, count(*) AS df FROM g GROUP BY gram",
+    "trigram_df": """WITH c AS (SELECT doc_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, '') AS l FROM documents)),
+g AS (SELECT doc_id, a || lead(a) OVER w || lead(a, 2) OVER w AS gram FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT gram, count(DISTINCT doc_id) AS df FROM g WHERE gram IS NOT NULL GROUP BY gram""",
     "literal_candidates": f"WITH {_DOCS}, {_chosen(0, 'doc_id', 'src', rx.literal_trigrams(LITERAL))} SELECT doc_id FROM cand0",
     "literal_search": f"""WITH cut AS (SELECT doc_id, string_split(text, '{LITERAL}') AS p FROM documents WHERE contains(text, '{LITERAL}')),
 piece AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i, len(p) AS n FROM cut),

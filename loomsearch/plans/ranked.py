@@ -40,18 +40,14 @@ def cosine(spark, sf_dir):
     return _top(ranking.cosine(terms, posts, stats, index.doc_norms(index.postings(d, "doc_id"), stats.lengths, "doc_id")))
 
 
-def _vocabulary(spark, sf_dir):
-    return index.postings(docs(spark, sf_dir), "doc_id").agg(F.count_distinct("term").alias("vocabulary"))
-
-
 def ql_dirichlet(spark, sf_dir):
     _, terms, posts, stats = _setup(spark, sf_dir, QUERY + " zzunseen")
-    return _top(ranking.query_likelihood(terms, posts, stats, _vocabulary(spark, sf_dir)))
+    return _top(ranking.query_likelihood(terms, posts, stats, index.vocabulary(docs(spark, sf_dir), "doc_id"), k=K))
 
 
 def ql_jm(spark, sf_dir):
     _, terms, posts, stats = _setup(spark, sf_dir, QUERY + " zzunseen")
-    return _top(ranking.query_likelihood(terms, posts, stats, _vocabulary(spark, sf_dir), mu=None))
+    return _top(ranking.query_likelihood(terms, posts, stats, index.vocabulary(docs(spark, sf_dir), "doc_id"), mu=None, k=K))
 
 
 def bm25_batch(spark, sf_dir):
@@ -59,16 +55,15 @@ def bm25_batch(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
     terms = query.query_terms(turns)
     d = docs(spark, sf_dir)
-    each = index.token_arrays(d, "doc_id").select("doc_id", F.explode("tokens").alias("term"))
-    posts = each.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    scores = ranking.bm25(terms, posts, ranking.Stats(index.doc_lengths(d, "doc_id")))
+    posts, lengths = index.query_postings(d, "doc_id", terms)
+    scores = ranking.bm25(terms, posts, ranking.Stats(lengths))
     return ranking.top_k(rounded(scores, "score"), 3).select("query_id", "rank", "doc_id", "score")
 
 
 def _positions(spark, sf_dir, terms):
     """Positions of the query's terms only."""
     each = index.positions(docs(spark, sf_dir), "doc_id").withColumn("field", F.lit("content"))
-    return each.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")  # terms of one query
+    return each.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def phrase_count(spark, sf_dir):

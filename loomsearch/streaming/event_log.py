@@ -27,12 +27,18 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_events(events: DataFrame, folder: str) -> None:
-    """Appends `(kind, path)` rows, or `(seq, kind, path)` with numbers of their own."""
+    """Appends `(kind, path)` rows, numbered on in their order, or `(seq, kind, path)` with numbers of their own."""
     spark = events.sparkSession
     if "seq" not in events.columns:
         last = read_events(spark, folder).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        rows = [(last + 1 + i, r["kind"], r["path"]) for i, r in enumerate(events.toLocalIterator())]
-        events = spark.createDataFrame(rows, SCHEMA)
+        numbered = events.select("kind", "path", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+        sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low")).orderBy("_part").collect()  # a row for each task
+        starts, at = [], last + 1
+        for r in sizes:
+            starts.append((r["_part"], at - r["_low"]))
+            at += r["_n"]
+        shift = spark.createDataFrame(starts, "_part int, _shift bigint")
+        events = numbered.join(F.broadcast(shift), "_part").select((F.col("_at") + F.col("_shift")).alias("seq"), "kind", "path")
     events.select("seq", "kind", "path").write.mode("append").json(folder)
 
 

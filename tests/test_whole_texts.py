@@ -21,6 +21,6 @@ def test_whole_documents(spark, tmp_path):
                 parts.append((d, n, lexeme, i, token))
                 places.setdefault((token, d), []).append(at)
                 at += 1
-    assert sorted(map(tuple, lexical.QUERIES["ident_split_text"](spark, str(tmp_path)).collect())) == sorted(parts)
-    got = sorted(map(tuple, lexical.QUERIES["positional_postings_text"](spark, str(tmp_path)).collect()))
+    assert sorted(map(tuple, lexical.QUERIES["ident_split"](spark, str(tmp_path)).collect())) == sorted(parts)
+    got = sorted(map(tuple, lexical.QUERIES["positional_postings"](spark, str(tmp_path)).collect()))
     assert got == sorted((t, d, len(p), " ".join(map(str, p))) for (t, d), p in places.items())
