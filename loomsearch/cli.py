@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsearch.operators import evaluation, features, feedback, index, quality, query, ranking, regex_search
+from loomsearch.operators import evaluation, explain, features, feedback, index, quality, query, ranking, regex_search
 from loomsearch.sources import corpus, tables
 from loomsearch.streaming import event_log, maintenance
 
@@ -35,6 +35,9 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--feedback-expansion", action="store_true")
     p.add_argument("--export-features")
     p.add_argument("--index-dir")
+    p.add_argument("--eval-workdir")
+    p.add_argument("--fresh", action="store_true")
+    p.add_argument("--explain", action="store_true")
     p.add_argument("--query-log")
     p.add_argument("--reindex", action="store_true")
     p.add_argument("--no-respect-gitignore", dest="respect_gitignore", action="store_false")
@@ -46,42 +49,62 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
 
 
 class Search:
-    """An index and the settings it is searched with."""
+    """An index and the settings it is searched with. Fielded algorithms read code, the flat ones windows of prose terms."""
 
     def __init__(self, docs: DataFrame, algorithm: str = "bm25-proximity", expand: bool = False, feed_back: bool = False, n_grams: int = 1, tokens: DataFrame | None = None):
         self.algorithm, self.expand, self.feed_back, self.n_grams = ranking.NAMES[algorithm], expand, feed_back, n_grams
         self.fielded = self.algorithm in FIELDED
         self.docs = quality.with_quality(docs, "path", "content").drop("content")
-        self.tokens = maintenance.tokens_of(docs, self.fielded) if tokens is None else tokens
-        if n_grams > 1 and not self.fielded:
-            from loomsearch.functions import text
-
-            self.tokens = self.tokens.withColumn("tokens", text.word_ngrams(F.col("tokens"), n_grams))
+        self.tokens = maintenance.tokens_of(docs, self.fielded, n_grams) if tokens is None else tokens
 
     def terms(self, queries: DataFrame) -> DataFrame:
+        if not self.fielded:
+            return query.prose_terms(queries, self.n_grams)
         found = query.query_terms(queries)
-        return query.expanded_terms(queries, found) if self.expand and self.fielded else found
+        return query.expanded_terms(queries, found) if self.expand else found
 
-    def scored(self, terms: DataFrame, queries: DataFrame) -> DataFrame:
+    def explained(self, queries: DataFrame, ranked: DataFrame) -> DataFrame:
+        """Ranked rows with the parts of their scores: terms, fields, static signals and positions."""
+        terms = self.terms(queries)
         by_field, lengths = index.query_field_postings(self.tokens, terms)
-        posts = by_field.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+        n = self.docs.agg(F.count("*").alias("n"))
+        weights = positional = None
+        if self.algorithm == "bm25f":
+            intents = queries.select("query_id", query.intent(F.col("query")).alias("intent"))
+            parts = explain.bm25f_terms(terms, intents, by_field, lengths, index.field_averages(lengths, n), n)
+            weights = intents.join(F.broadcast(ranking.intent_weights(queries.sparkSession)), "intent").select("query_id", "field", "fw")
+        else:
+            posts, stats = self._flat(by_field, lengths)
+            parts = (explain.bm25_terms if self.algorithm in ("bm25", "bm25_proximity") else explain.matched_terms)(terms, posts, stats)
+        if self.algorithm == "bm25_proximity":
+            positional = self._positional(terms, queries)
+        return explain.ranked_explanations(ranked, parts, by_field, self.docs, weights, positional)
+
+    def _flat(self, by_field: DataFrame, lengths: DataFrame) -> tuple[DataFrame, ranking.Stats]:
         total = self.docs.select("doc_id").join(lengths.groupBy("doc_id").agg(F.sum("length").alias("length")), "doc_id", "left").fillna(0, ["length"])
-        stats = ranking.Stats(total)
+        return by_field.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf")), ranking.Stats(total)
+
+    def _positional(self, terms: DataFrame, queries: DataFrame) -> DataFrame:
+        each = self.tokens.select("doc_id", "field", F.posexplode("tokens").alias("pos", "term")).join(terms.select("term").distinct(), "term", "left_semi")
+        return ranking.positional_bonus(each, terms, query.phrases(queries))
+
+    def scored(self, terms: DataFrame, queries: DataFrame) -> DataFrame:
+        by_field, lengths = index.query_field_postings(self.tokens, terms)
+        posts, stats = self._flat(by_field, lengths)
         if self.algorithm == "bm25f":
             n = self.docs.agg(F.count("*").alias("n"))
             intents = queries.select("query_id", query.intent(F.col("query")).alias("intent"))
             scores = ranking.bm25f(terms, intents, by_field, lengths, index.field_averages(lengths, n), n)
         elif self.algorithm in ("ql_dirichlet", "ql_jm"):
-            vocabulary = self.tokens.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("vocabulary"))
+            vocabulary = self.tokens.select(F.explode("tokens").alias("t")).distinct().agg(F.count("*").alias("vocabulary"))
             scores = ranking.query_likelihood(terms, posts, stats, vocabulary, 1500.0 if self.algorithm == "ql_dirichlet" else None)
         elif self.algorithm == "cosine":
             every = index.field_frequencies(self.tokens).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
-            scores = ranking.cosine(terms, posts, stats, index.doc_norms(every, total, "doc_id"))
+            scores = ranking.cosine(terms, posts, stats, index.doc_norms(every, stats.lengths, "doc_id"))
         else:
             scores = (ranking.tfidf if self.algorithm == "tfidf" else ranking.bm25)(terms, posts, stats)
         if self.algorithm == "bm25_proximity":
-            each = self.tokens.select("doc_id", "field", F.posexplode("tokens").alias("pos", "term")).join(terms.select("term").distinct(), "term", "left_semi")
-            scores = ranking.add_scores(scores, ranking.positional_bonus(each, terms, query.phrases(queries)), ["query_id", "doc_id"], "bonus")
+            scores = ranking.add_scores(scores, self._positional(terms, queries), ["query_id", "doc_id"], "bonus")
         return scores
 
     def rank(self, queries: DataFrame, k: int) -> DataFrame:
@@ -105,21 +128,44 @@ class Search:
         return features.feature_rows(ranked.drop("path"), intents.select("query_id", "query", "intent"), terms, by_field, self.docs, judged)
 
 
-def prepare(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """The documents, from the snapshot if there is a fitting one, with changes in its log applied; built and written otherwise."""
+def prepare(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """Tables of the index: `docs` with `tokens`, or with `grams` for patterns.
+
+    They come from the snapshot if there is a fitting one; changes in its log are applied to it, and it is written
+    anew. Otherwise, they are built and written. Fielded and flat tokens, and trigrams, have a snapshot each.
+    """
     fresh = lambda: corpus.scan(spark, a.directory, a.respect_gitignore)[0]
+    patterns, fielded = a.words[:1] == ["regex"], ranking.NAMES[a.ranking_algorithm] in FIELDED and not a.stats
+    kind = "grams" if patterns else "fielded" if fielded else "flat"
+
+    def made(docs: DataFrame) -> dict[str, DataFrame]:
+        extra = {"grams": regex_search.trigram_postings(docs, "doc_id", "content")} if patterns else {"tokens": maintenance.tokens_of(docs, fielded, a.n_grams)}
+        return {"docs": docs} | extra
+
     if not a.index_dir:
-        return fresh()
-    config = tables.config_hash(a.n_grams, gitignore=a.respect_gitignore)
-    place, log = f"{a.index_dir}/snapshot", f"{a.index_dir}/events"
+        return made(fresh()) if not patterns else {"docs": fresh()}
+    config = tables.config_hash(a.n_grams, fielded=fielded, gitignore=a.respect_gitignore)
+    place, log = f"{a.index_dir}/{kind}/snapshot", f"{a.index_dir}/{kind}/events"
     if not a.reindex and tables.snapshot_exists(spark, place):
-        held = tables.load_snapshot(spark, place, a.directory, config)["docs"]
+        held = tables.load_snapshot(spark, place, a.directory, config)
         events = event_log.read_events(spark, log)
-        return held if events.isEmpty() else maintenance.apply(maintenance.build(held), events, fresh()).docs
-    docs = fresh()
-    tables.write_snapshot(place, {"docs": docs}, a.directory, config)
+        if events.isEmpty():
+            return held
+        now = fresh()
+        if patterns:
+            docs = maintenance.apply(maintenance.Version(held["docs"], maintenance.tokens_of(held["docs"].limit(0), False)), events, now, False).docs
+            gone = held["docs"].select("doc_id", "path", F.xxhash64("content").alias("h")).join(docs.select("doc_id", F.xxhash64("content").alias("h")), ["doc_id", "h"], "left_anti")
+            new = docs.join(held["docs"].select("doc_id", F.xxhash64("content").alias("_h")), "doc_id", "left").where("_h is null or _h <> xxhash64(content)").drop("_h")
+            nxt = {"docs": docs, "grams": regex_search.refresh(held["grams"], new, gone, "doc_id", "content")}
+        else:
+            version = maintenance.apply(maintenance.Version(held["docs"], held["tokens"]), events, now, fielded, a.n_grams)
+            nxt = {"docs": version.docs, "tokens": version.tokens}
+        tables.replace_snapshot(place, nxt, a.directory, config)
+        event_log.clear_events(spark, log)
+        return tables.load_snapshot(spark, place, a.directory, config)
+    tables.write_snapshot(place, made(fresh()), a.directory, config)
     event_log.clear_events(spark, log)
-    return tables.load_snapshot(spark, place, a.directory, config)["docs"]
+    return tables.load_snapshot(spark, place, a.directory, config)
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace, search: Search) -> int:
@@ -148,28 +194,37 @@ def evaluate(spark: SparkSession, a: argparse.Namespace, search: Search) -> int:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = arguments(args)
     spark = spark or SparkSession.builder.appName("loomsearch").getOrCreate()
-    docs = prepare(spark, a)
+    if a.eval_workdir:
+        a.directory = corpus.clone(*tables.read_repository(spark, a.eval_data), a.eval_workdir, a.fresh)
+    held = prepare(spark, a)
+    docs = held["docs"]
     if a.words[:1] == ["regex"]:
-        found = regex_search.search_regex(docs, "doc_id", "content", " ".join(a.words[1:])).join(docs.select("doc_id", "path"), "doc_id")
+        found = regex_search.search_regex(docs, "doc_id", "content", " ".join(a.words[1:]), held.get("grams")).join(docs.select("doc_id", "path"), "doc_id")
         for r in found.orderBy(F.split("path", "/"), "byte_start").toLocalIterator():
             print(f"{r['path']}:{r['line_start']}-{r['line_end']}:{r['byte_start']}..{r['byte_end']}: {r['matched_text']}")
         return 0
     if a.stats:
-        posts = index.ngram_postings(docs, "doc_id", a.n_grams, "content").withColumnRenamed("gram", "term")
-        print(json.dumps(index.corpus_stats(posts, index.doc_lengths(docs, "doc_id", "content"), "doc_id").first().asDict(), indent=1))
+        posts = index.field_frequencies(held["tokens"]).select("doc_id", "term", "tf")
+        lengths = docs.select("doc_id").join(held["tokens"].select("doc_id", F.size("tokens").cast("bigint").alias("length")), "doc_id")
+        print(json.dumps(index.corpus_stats(posts, lengths, "doc_id").first().asDict(), indent=1))
         for r in index.top_terms(posts, "doc_id", a.top_n).collect():
             print(f"{r['term']} cf={r['cf']} df={r['df']}")
         return 0
-    search = Search(docs, a.ranking_algorithm, a.query_expansion, a.feedback_expansion, a.n_grams)
+    search = Search(docs, a.ranking_algorithm, a.query_expansion, a.feedback_expansion, a.n_grams, held["tokens"])
     if a.evaluate:
         return evaluate(spark, a, search)
     for line in [" ".join(a.words)] if a.words else sys.stdin:
         if line.strip() in ("exit", "quit"):
             break
         if line.strip():
-            rows = search.rank(query.queries_of(spark, [line.strip()]), a.top_n).orderBy("rank").collect()
+            queries = query.queries_of(spark, [line.strip()])
+            found = search.rank(queries, a.top_n)
+            rows = (search.explained(queries, found) if a.explain else found).orderBy("rank").collect()
             for r in rows:
                 print(f"{r['path']} score={r['score']:.4f}")
+                if a.explain:
+                    parts = [f"{t['term']} {t['contribution']:+.4f}" for t in r["terms"] or []] + [f"{t['signal']} {t['contribution']:+.4f}" for t in r["static"] or [] if t["contribution"]]
+                    print("  " + ", ".join([*parts, f"positions {r['positional']:+.4f}"]))
             if a.query_log:
                 tables.log_query(spark, a.query_log, line.strip(), len(rows))
     return 0

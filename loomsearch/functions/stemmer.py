@@ -122,3 +122,8 @@ def stem(word: str) -> str:
 def stem_column(words: pd.Series) -> pd.Series:
     """Meant for distinct terms: stem those and join the result back."""
     return words.map(lambda w: None if w is None else stem(w))
+
+
+def stemmed_stream(lexemes: list[list[str]]) -> list[str]:
+    """Terms of the pieces of each lexeme, those marked `~` stemmed and those marked `=` not, each once in its lexeme."""
+    return [t for pieces in lexemes for t in dict.fromkeys(stem(p[1:]) if p[0] == "~" else p[1:] for p in pieces)]

@@ -68,6 +68,12 @@ def prose_pieces(text: Column, stop_words: list[str]) -> Column:
     return F.transform(lexemes(text), of)
 
 
+def marked_pieces(text: Column, stop_words: list[str]) -> Column:
+    """`prose_pieces` as strings, marked `~` where they are to be stemmed and `=` where not; null texts stay null."""
+    marked = F.transform(prose_pieces(text, stop_words), lambda ps: F.transform(ps, lambda p: F.concat(F.when(p["stem"], "~").otherwise("="), p["term"])))
+    return F.when(text.isNotNull(), marked)
+
+
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Windows of `n` tokens joined by spaces; none where there are fewer."""
     if n < 1:

@@ -40,6 +40,16 @@ def static_contributions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", each).select("doc_id", "e.signal", "e.contribution")
 
 
+def ranked_explanations(ranked: DataFrame, explained: DataFrame, by_field: DataFrame, docs: DataFrame, weights: DataFrame | None = None, positional: DataFrame | None = None) -> DataFrame:
+    """`explanations` of ranked documents, with a list of field parts too: `(term, field, field_tf, field_weight, field_contribution)`."""
+    best = ranked.select("query_id", "doc_id").distinct()
+    parts = explained.join(best, ["query_id", "doc_id"], "left_semi")
+    split = field_contributions(parts, by_field, weights)
+    fields_of = split.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "field", "field_tf", "field_weight", "field_contribution"))).alias("fields"))
+    full = explanations(ranked, parts, static_contributions(docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")), positional)
+    return full.join(fields_of, ["query_id", "doc_id"], "left")
+
+
 def explanations(ranked: DataFrame, explained: DataFrame, static: DataFrame, positional: DataFrame | None = None) -> DataFrame:
     """Ranked rows with arrays of term and static parts, and the positional bonus, so that the parts add up to the score."""
     by_term = explained.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df", "idf", "contribution"))).alias("terms"))

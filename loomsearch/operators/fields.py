@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsearch.functions import text
+from loomsearch.operators import index
 
 FIELDS = ["filename", "path", "extension", "content", "identifiers", "symbols", "imports", "comments", "string_literals", "frontmatter"]
 EXPORTABLE = ["symbols", "imports", "comments", "string_literals", "frontmatter"]
@@ -43,12 +44,6 @@ def field_tokens(fields: DataFrame) -> DataFrame:
     return fields.select("doc_id", "path", "field", text.code_tokens(F.col("text")).alias("tokens"))
 
 
-def joined_fields(features: DataFrame) -> DataFrame:
-    """Features `(doc_id, field, n, text)` of one field joined by line breaks in order of n; blank ones dropped."""
-    kept = features.where(F.length(F.trim("text")) > 0)
-    return kept.groupBy("doc_id", "field").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), "\n").alias("text"))
-
-
 def heuristic_comments(content: str) -> list[str]:
     """Text behind the earliest of `//`, `#` and `/*` in a line; behind a line marker one character is skipped."""
     found: list[str] = []
@@ -184,6 +179,14 @@ def syntax_captures(kind: str, content: str) -> list[_Capture] | None:
     return sorted(found, key=lambda f: (f[2], f[3], f[0]))
 
 
+def captured(kind: str, body: str) -> list[tuple]:
+    """`(field, text, start, end)` by syntax; by heuristics, without places, where a type has no captures or doesn't parse."""
+    found = syntax_captures(kind, body)
+    if found is None:
+        found = [("comments", t, None, None) for t in heuristic_comments(body)] + [("string_literals", t, None, None) for t in heuristic_strings(body)]
+    return found
+
+
 def parsed_fields(docs: DataFrame, key: str, path: str, content: str, heuristics_only: bool = False) -> DataFrame:
     """`(doc_id, field, n, text, start, end)`: syntax captures, or comments and strings by heuristics without spans."""
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), (F.lit("") if heuristics_only else text.file_type(F.col(path))).alias("kind"), F.coalesce(content, F.lit("")).alias("content"))
@@ -192,11 +195,41 @@ def parsed_fields(docs: DataFrame, key: str, path: str, content: str, heuristics
         for df in frames:
             out = []
             for doc, kind, body in zip(df["doc_id"], df["kind"], df["content"]):
-                found = syntax_captures(kind, body)
-                if found is None:
-                    found = [("comments", t, None, None) for t in heuristic_comments(body)] + [("string_literals", t, None, None) for t in heuristic_strings(body)]
-                out += [(doc, f, n, t, a, b) for n, (f, t, a, b) in enumerate(found)]
+                out += [(doc, f, n, t, a, b) for n, (f, t, a, b) in enumerate(captured(kind, body))]
             made = pd.DataFrame(out, columns=["doc_id", "field", "n", "text", "start", "end"])
             yield made.astype({"start": "Int64", "end": "Int64"})
 
     return source.mapInPandas(run, "doc_id bigint, field string, n int, text string, start bigint, end bigint")
+
+
+def extracted_fields(docs: DataFrame, key: str, path: str, content: str) -> DataFrame:
+    """`(doc_id, path, field, text)` of the fields that a parser or the heuristics find; texts of one field are joined by line breaks.
+
+    Only exportable features count, blank ones are left out. A document's features never leave its task.
+    """
+    source = docs.select(F.col(key).alias("doc_id"), F.col(path).alias("path"), text.file_type(F.col(path)).alias("kind"), F.coalesce(content, F.lit("")).alias("content"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            out = []
+            for doc, where, kind, body in zip(df["doc_id"], df["path"], df["kind"], df["content"]):
+                by: dict[str, list[str]] = {}
+                for field, found, *_ in captured(kind, body):
+                    if field in EXPORTABLE and found.strip():
+                        by.setdefault(field, []).append(found)
+                out += [(doc, where, field, "\n".join(found)) for field, found in by.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "path", "field", "text"])
+
+    return source.mapInPandas(run, f"doc_id {docs.schema[key].dataType.simpleString()}, path string, field string, text string")
+
+
+def all_fields(docs: DataFrame, key: str, path: str, content: str) -> DataFrame:
+    """`(doc_id, path, field, text)` of all ten fields; blank ones are left out."""
+    return base_fields(docs, key, path, content).unionByName(extracted_fields(docs, key, path, content))
+
+
+def analyzed_fields(fields: DataFrame) -> DataFrame:
+    """`(doc_id, path, field, tokens)`, each field with the analyser of its file's type: code or prose."""
+    code = text.uses_code_analyzer(text.file_type(F.col("path")), F.col("field"))
+    marked = index.with_prose_tokens(fields.select("doc_id", "path", "field", "text", code.alias("_code")), F.when(~F.col("_code"), F.col("text")), "_prose")
+    return marked.select("doc_id", "path", "field", F.when(F.col("_code"), text.code_tokens(F.col("text"))).otherwise(F.col("_prose")).alias("tokens"))

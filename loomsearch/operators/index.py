@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomsearch.functions import stop_words, text
-from loomsearch.functions.stemmer import stem_column
+from loomsearch.functions.stemmer import stem_column, stemmed_stream
 
 
-def token_arrays(docs: DataFrame, key: str, content: str = "text") -> DataFrame:
-    """`(key, tokens)`: the code analyser's stream of each document as an array."""
-    return docs.select(key, text.code_tokens(F.col(content)).alias("tokens"))
+def with_prose_tokens(df: DataFrame, content: Column, name: str = "tokens", stops: list[str] | None = None) -> DataFrame:
+    """`df` with the prose analyser's stream of a text in order: stop words out, parts stemmed, each term once in a lexeme.
+
+    Null texts have a null stream. The stemmer runs over Arrow batches; its results for words are kept in each worker.
+    """
+    marked = df.withColumn("_marked", text.marked_pieces(content, stop_words.ENGLISH if stops is None else stops))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            streams = [None if x is None else stemmed_stream(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(streams, pa.list_(pa.string()))], [*b.schema.names[:-1], name])
+
+    return marked.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))]))
+
+
+def token_arrays(docs: DataFrame, key: str, content: str = "text", analyze: Callable[[Column], Column] = text.code_tokens) -> DataFrame:
+    """`(key, tokens)`: an analyser's stream of each document as an array; any function of a text column will do."""
+    return docs.select(key, analyze(F.col(content)).alias("tokens"))
 
 
 def positions(docs: DataFrame, key: str, content: str = "text") -> DataFrame:
@@ -57,7 +75,7 @@ def query_postings(docs: DataFrame, key: str, terms: DataFrame, content: str = "
     if wanted is None:
         posts = postings(docs, key, content)
         lengths = docs.select(key).join(posts.groupBy(key).agg(F.sum("tf").alias("length")), key, "left").select(key, F.coalesce("length", F.lit(0)).cast("bigint").alias("length"))
-        return posts.join(terms.select("term").distinct(), "term", "left_semi"), lengths
+        return posts.join(terms.select("term").distinct(), "term", "left_semi").select(key, "term", "tf"), lengths
     hits = F.filter("tokens", lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")
     view = token_arrays(docs, key, content).select(key, F.size("tokens").cast("bigint").alias("length"), hits.alias("hits")).persist()
     posts = view.select(key, F.explode("hits").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -147,10 +165,10 @@ def prose_postings(docs: DataFrame, key: str, content: str = "text", stops: list
     return joined.distinct().groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def ngram_postings(docs: DataFrame, key: str, n: int, content: str = "text") -> DataFrame:
-    """`(key, gram, tf)` of windows of `n` tokens of the code analyser."""
+def ngram_postings(docs: DataFrame, key: str, n: int, content: str = "text", analyze: Callable[[Column], Column] = text.code_tokens) -> DataFrame:
+    """`(key, gram, tf)` of windows of `n` tokens."""
     grams = text.word_ngrams(F.col("tokens"), n)
-    return token_arrays(docs, key, content).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    return token_arrays(docs, key, content, analyze).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
 @dataclass

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,11 +120,21 @@ def documents_with_all(posts: DataFrame, key: str, terms: list[str]) -> DataFram
     return hits.where(F.col("k") == len(wanted)).select(key)
 
 
-def documents_with_any(posts: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    return posts.where(F.col("term").isin(*terms)).select(key).distinct()
-
-
 def position_gaps(positions: DataFrame) -> DataFrame:
     """`(doc_id, field, term, positions)` with positions as gaps, the first from 0."""
     gaps = F.transform(F.col("positions"), lambda p, i: p - F.when(i > 0, F.get("positions", i - 1)).otherwise(0))
     return positions.withColumn("gaps", gaps)
+
+
+def compressed(posts: DataFrame) -> DataFrame:
+    """`(term, part, postings)`: encoded lists of `(term, doc, tf, positions)` rows with numbered documents.
+
+    A term's list is cut by ranges of 65,536 documents, so that no task holds more of it; keep it with `persist()`.
+    """
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted((int(d), int(tf), [int(p) for p in at]) for d, tf, at in zip(frame["doc"], frame["tf"], frame["positions"]))
+        return pd.DataFrame([(*key, encode_postings(rows))], columns=["term", "part", "postings"])
+
+    parted = posts.withColumn("part", F.expr("doc div 65536"))
+    return parted.groupBy("term", "part").applyInPandas(run, "term string, part bigint, postings binary")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsearch.functions import text
+from loomsearch.operators import index
 
 EXPANSIONS = {
     "db": ["database"], "auth": ["authentication", "authorization"], "cfg": ["configuration"], "config": ["configuration"], "repo": ["repository"],
@@ -42,6 +43,13 @@ def query_terms(queries: DataFrame, key: str = "query_id", content: str = "query
     return counted.select("query_id", "term", "frequency", F.col("frequency").cast("double").alias("weight"), F.lit("original").alias("provenance"))
 
 
+def prose_terms(queries: DataFrame, n: int = 1, key: str = "query_id", content: str = "query") -> DataFrame:
+    """Like `query_terms` for a flat index: windows of `n` terms of the prose analyser."""
+    tokens = index.with_prose_tokens(queries.select(F.col(key).alias("query_id"), F.coalesce(content, F.lit("")).alias("text")), F.col("text"))
+    counted = tokens.select("query_id", F.explode(text.word_ngrams(F.col("tokens"), n)).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("frequency"))
+    return counted.select("query_id", "term", "frequency", F.col("frequency").cast("double").alias("weight"), F.lit("original").alias("provenance"))
+
+
 def terms_from_weights(spark: SparkSession, weights: dict[str, float], query_id: str = "q1") -> DataFrame:
     """Direct construction; terms without positive weight are dropped."""
     return spark.createDataFrame([(query_id, t, 1, float(w), "original") for t, w in weights.items() if w > 0], "query_id string, term string, frequency int, weight double, provenance string")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsearch.functions.oracle import tokens_cte
-from loomsearch.operators import features, feedback, fields, index, quality, query, ranking
+from loomsearch.operators import explain, features, feedback, fields, index, quality, query, ranking
 from loomsearch.plans.lexical import FIELD_TOKENS, field_tokens, rounded, table, texts
 
 TEXTS = ["blog index example version", "m.ththth.example.net/en"]
@@ -82,6 +82,42 @@ def static_prior(spark, sf_dir):
     return rounded(quality.with_quality(_pages(spark, sf_dir), "path", "html").select("doc_id", "static_prior"), "static_prior")
 
 
+def bm25f_prior(spark, sf_dir):
+    """The first results with the static prior added to the score, as ranked search does."""
+    _, intents, terms = _setup(spark, sf_dir)
+    by_field, lengths = index.query_field_postings(field_tokens(spark, sf_dir), terms)
+    n = table(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
+    scores = rounded(ranking.bm25f(terms, intents, by_field, lengths, index.field_averages(lengths, n), n), "score")
+    full = ranking.add_scores(scores, static_prior(spark, sf_dir), ["doc_id"], "static_prior")
+    return ranking.top_k(rounded(full, "score"), K).select("query_id", "rank", "doc_id", "score")
+
+
+def _explained(spark, sf_dir):
+    """`(parts, postings by field, field weights by query)` of the first ten results."""
+    _, intents, terms = _setup(spark, sf_dir)
+    n = table(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
+    by_field, lengths = index.query_field_postings(field_tokens(spark, sf_dir), terms)
+    parts = explain.bm25f_terms(terms, intents, by_field, lengths, index.field_averages(lengths, n), n)
+    best = ranking.top_k(rounded(parts.groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("score")), "score"), K).select("query_id", "doc_id")
+    weights = intents.join(F.broadcast(ranking.intent_weights(spark)), "intent").select("query_id", "field", "fw")
+    return parts.join(best, ["query_id", "doc_id"], "left_semi"), by_field, weights
+
+
+def explain_bm25f(spark, sf_dir):
+    return rounded(_explained(spark, sf_dir)[0].select("query_id", "doc_id", "term", "tf", "df", "idf", "contribution"), "idf", "contribution")
+
+
+def explain_fields(spark, sf_dir):
+    """Each term's contribution by field."""
+    split = explain.field_contributions(*_explained(spark, sf_dir))
+    return rounded(split.select("query_id", "doc_id", "term", "field", "field_tf", "field_weight", "field_contribution"), "field_weight", "field_contribution")
+
+
+def explain_static(spark, sf_dir):
+    """The static prior of all pages by signal."""
+    return rounded(explain.static_contributions(quality.with_quality(_pages(spark, sf_dir), "path", "html")), "contribution")
+
+
 def ltr_features(spark, sf_dir):
     """Every feature of the ranked pages as a row of its own; pages of the first address in order are judged."""
     queries, intents, terms = _setup(spark, sf_dir)
@@ -98,7 +134,7 @@ def heuristic_fields(spark, sf_dir):
     return fields.parsed_fields(_pages(spark, sf_dir), "doc_id", "path", "html", heuristics_only=True).select("doc_id", "field", "n", "text")
 
 
-QUERIES = {f.__name__: f for f in (bm25f, feedback_terms, rank_with_feedback, intent, expansion, quality_signals, static_prior, ltr_features, heuristic_fields)}
+QUERIES = {f.__name__: f for f in (bm25f, feedback_terms, rank_with_feedback, intent, expansion, quality_signals, static_prior, bm25f_prior, explain_bm25f, explain_fields, explain_static, ltr_features, heuristic_fields)}
 
 
 def _values(name: str, cols: str, rows) -> str:
@@ -152,7 +188,22 @@ prior AS (SELECT *, CASE WHEN "generated" THEN -0.55 ELSE 0 END + CASE WHEN vend
 _SIGNALS = ", ".join(f'"{s}"' for s in quality.SIGNALS)
 _STATIC = " UNION ALL ".join(f"SELECT doc_id, 'static.{s}' AS feature, \"{s}\"::DOUBLE AS value FROM prior" for s in quality.SIGNALS)
 
+_PRIOR_PARTS = {
+    **{k: f'CASE WHEN "{k}" THEN {w} ELSE 0 END' for k, w in quality.PRIOR.items()},
+    "file_depth": "CASE WHEN file_depth <= 1 THEN 0.10 WHEN file_depth = 2 THEN 0.04 WHEN file_depth <= 5 THEN 0 ELSE -0.08 END",
+    "file_size_bytes": "CASE WHEN file_size_bytes > 750000 THEN -0.18 WHEN file_size_bytes > 250000 THEN -0.08 ELSE 0 END",
+    "reference_count": "0.015 * least(reference_count, 12)",
+}
+_EXPLAINED = f"""{_INDEX}, {_TERMS}, {_ranked("q", "best", K)},
+tfs AS (SELECT doc_id, term, sum(tf)::BIGINT AS tf FROM pf GROUP BY ALL),
+parts AS (SELECT query_id, doc_id, term, tf, df, ln((n + 1) / (df + 0.5)) AS idf, w * ln((n + 1) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2) AS contribution FROM best_w JOIN tfs USING (doc_id, term) JOIN df USING (term), n WHERE (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM best))"""
+
 ORACLES = {
+    "bm25f_prior": f"""{_INDEX}, {_TERMS}, {_ranked("q", "best", K)}, {_QUALITY}, full_s AS (SELECT query_id, doc_id, round(score + round(static_prior, 6)::DOUBLE, 6) AS score FROM best_s JOIN prior USING (doc_id))
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM full_s) WHERE rank <= {K}""",
+    "explain_bm25f": f"{_EXPLAINED} SELECT query_id, doc_id, term, tf, df, round(idf, 6) AS idf, round(contribution, 6) AS contribution FROM parts",
+    "explain_fields": f"{_EXPLAINED} SELECT query_id, doc_id, term, field, pf.tf AS field_tf, round(fw, 6) AS field_weight, round(contribution * pf.tf / parts.tf, 6) AS field_contribution FROM parts JOIN pf USING (doc_id, term) JOIN qi USING (query_id) JOIN fw USING (intent, field)",
+    "explain_static": f"WITH {_QUALITY} " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS signal, round({v}, 6)::DOUBLE AS contribution FROM quality" for k, v in _PRIOR_PARTS.items()),
     "bm25f": f"{_INDEX}, {_TERMS}, {_ranked('q', 'best', K)} SELECT query_id, rank, doc_id, score FROM best",
     "feedback_terms": f"{_FEEDBACK} SELECT query_id, term, round(weight, 6) AS weight, source_fields FROM found",
     "rank_with_feedback": f"{_FEEDBACK}, wide AS (SELECT * FROM q UNION ALL SELECT query_id, term, weight FROM found), {_ranked('wide', 'best', K)} SELECT query_id, rank, doc_id, score FROM best",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,8 +13,6 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsearch.functions import text
-
 SCHEMA = "path string, content binary, file_size_bytes bigint, error string"
 
 
@@ -102,15 +103,23 @@ def scan(spark: SparkSession, root: str, respect_gitignore: bool = True, prefix:
     return docs, rejects
 
 
-def searchable(spark: SparkSession, root: str) -> DataFrame:
-    """Documents for pattern search; what can't be read is left out."""
-    return scan(spark, root)[0]
-
-
 def build_report(docs: DataFrame, rejects: DataFrame) -> DataFrame:
     """One row: indexed and skipped documents."""
     return docs.agg(F.count("*").alias("indexed")).crossJoin(rejects.agg(F.count("*").alias("skipped")))
 
 
-def file_types(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("file_type", text.file_type(F.col("path")))
+def clone(repo: str, commit: str, workdir: str, fresh: bool = False) -> str:
+    """A checkout of a commit in `workdir`, which is made anew with `fresh` or where it is none; driver-side preparation.
+
+    A folder that isn't empty and no git working copy is never removed.
+    """
+    made = os.path.isdir(os.path.join(workdir, ".git"))
+    if os.path.isdir(workdir) and os.listdir(workdir) and not made:
+        raise ValueError(f"{workdir} holds other files")
+    if made and fresh:
+        shutil.rmtree(workdir)
+        made = False
+    if not made:
+        subprocess.run(["git", "clone", "--quiet", "--", repo, workdir], check=True)
+    subprocess.run(["git", "-C", workdir, "checkout", "--quiet", commit], check=True)
+    return workdir

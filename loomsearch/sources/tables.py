@@ -59,6 +59,23 @@ def snapshot_exists(spark: SparkSession, folder: str) -> bool:
     return True
 
 
+def replace_snapshot(folder: str, tables: dict[str, DataFrame], root: str, config: str) -> None:
+    """Writes the next snapshot beside the present one, which its tables may read, and then puts it in its place."""
+    spark = next(iter(tables.values())).sparkSession
+    write_snapshot(f"{folder}.next", tables, root, config)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(folder), True)
+    fs.rename(path(f"{folder}.next"), path(folder))
+    spark.catalog.refreshByPath(folder)  # what was kept of the tables before is no longer theirs
+
+
+def read_repository(spark: SparkSession, path: str) -> tuple[str, str]:
+    """`(repository, commit)` that a judgments file names."""
+    r = spark.read.schema(JUDGMENTS).option("multiLine", True).json(path).select(F.coalesce("repo_path", "repo").alias("repo"), "commit").first()
+    return r["repo"], r["commit"]
+
+
 def postings_of(tables: dict[str, DataFrame], term: str) -> DataFrame:
     """Postings of one term; the filter reaches the Parquet scan."""
     return tables["postings"].where(F.col("term") == term)

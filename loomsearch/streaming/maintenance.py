@@ -6,13 +6,16 @@ and norms are aggregates of them and are made anew for each version.
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomsearch.functions import text
 from loomsearch.operators import fields, index
 from loomsearch.streaming import event_log
 
@@ -32,18 +35,19 @@ class Version:
         return index.doc_norms(self.postings(), lengths, "doc_id")
 
 
-def tokens_of(docs: DataFrame, fielded: bool = True) -> DataFrame:
-    """Token arrays by field, or of the content alone for a flat index."""
-    if not fielded:
-        return docs.select("doc_id", "path", F.lit("content").alias("field"), "content").transform(lambda d: fields.field_tokens(d.withColumnRenamed("content", "text")))
-    return fields.field_tokens(fields.base_fields(docs, "doc_id", "path", "content"))
+def tokens_of(docs: DataFrame, fielded: bool = True, n_grams: int = 1) -> DataFrame:
+    """Token arrays of all ten fields, or windows of the content's prose terms for a flat index."""
+    if fielded:
+        return fields.analyzed_fields(fields.all_fields(docs, "doc_id", "path", "content"))
+    flat = index.with_prose_tokens(docs.select("doc_id", "path", F.lit("content").alias("field"), F.coalesce("content", F.lit("")).alias("content")), F.col("content"))
+    return flat.select("doc_id", "path", "field", text.word_ngrams(F.col("tokens"), n_grams).alias("tokens"))
 
 
-def build(docs: DataFrame, fielded: bool = True) -> Version:
-    return Version(docs, tokens_of(docs, fielded))
+def build(docs: DataFrame, fielded: bool = True, n_grams: int = 1) -> Version:
+    return Version(docs, tokens_of(docs, fielded, n_grams))
 
 
-def apply(version: Version, events: DataFrame, current: DataFrame, fielded: bool = True) -> Version:
+def apply(version: Version, events: DataFrame, current: DataFrame, fielded: bool = True, n_grams: int = 1) -> Version:
     """The next version after `(seq, kind, path)` events, `current(doc_id, path, content, file_size_bytes)` being the files now.
 
     Only the last event of a path counts. Added and modified files are analysed anew; one that can't be read any more
@@ -63,7 +67,7 @@ def apply(version: Version, events: DataFrame, current: DataFrame, fielded: bool
     new = current.join(alive, "path", "left_semi").select(*version.docs.columns)
     docs = version.docs.join(touched, "path", "left_anti").select(*version.docs.columns).unionByName(new)
     kept = version.tokens.join(touched, "path", "left_anti").select(*version.tokens.columns)
-    return Version(docs, kept.unionByName(tokens_of(new, fielded).select(*version.tokens.columns)))
+    return Version(docs, kept.unionByName(tokens_of(new, fielded, n_grams).select(*version.tokens.columns)))
 
 
 @dataclass
@@ -86,6 +90,22 @@ class Engine:
             self.version = Version(self.spark.read.parquet(f"{place}/docs"), self.spark.read.parquet(f"{place}/tokens"))
             return self.version
 
+    def poll(self, log: str, current: DataFrame) -> int:
+        """What a watcher does at each look: changes between the index and the files go to the log and are applied."""
+        events = changed_files(self.version.docs, current).orderBy("path").persist()
+        n = events.count()
+        if n:
+            event_log.append_events(events, log)
+            self.update(events.withColumn("seq", F.monotonically_increasing_id()), current)
+        events.unpersist()
+        return n
+
+    def watch(self, log: str, current: Callable[[], DataFrame], seconds: float = 2.0, stop: Callable[[], bool] = lambda: False) -> None:
+        """Polls the files until `stop()`. A file whose content stays the same is no change, whatever its time says."""
+        while not stop():
+            self.poll(log, current())
+            time.sleep(seconds)
+
     def count(self) -> int:
         return self.version.docs.count()
 

@@ -181,3 +181,41 @@ def test_list_intersection():
     plain, skipping = postings_codec.intersect_lists(a, b), postings_codec.intersect_lists(a, b, skips=True)
     assert plain[0] == skipping[0] == sorted(set(a) & set(b))
     assert skipping[1] < plain[1] or skipping[2] < plain[2]
+
+
+@pytest.mark.parametrize("mu", [1500.0, None])
+def test_first_documents_of_query_likelihood(spark, mu):
+    docs = {f"d{i:02d}": {"common": 1 + i % 5, "other": 1 + i % 3, **({"rare": 2} if i % 9 == 0 else {})} for i in range(40)}
+    posts, stats = corpus(spark, docs)
+    vocabulary = posts.agg(F.count_distinct("term").alias("vocabulary"))
+    terms = query.terms_from_weights(spark, {"rare": 1.0, "unseen": 1.0})
+    full, few = (ranking.top_k(ranking.query_likelihood(terms, posts, stats, vocabulary, mu=mu, k=k).withColumn("score", F.round("score", 9)), 12).orderBy("rank").collect() for k in (None, 12))
+    assert [(r["doc_id"], r["score"]) for r in full] == [(r["doc_id"], r["score"]) for r in few]
+
+
+def test_many_query_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha betaGamma alpha"), (2, ""), (3, None), (4, "gamma delta_x")], "doc_id int, text string")
+    terms = query.terms_from_weights(spark, {"alpha": 1.0, "gamma": 1.0})
+    sets = []
+    for most in (10, 1):
+        monkeypatch.setattr(index, "few_terms", lambda t, most=most, f=index.few_terms: f(t, most))
+        posts, lengths = index.query_postings(docs, "doc_id", terms)
+        tokens = docs.select("doc_id", F.lit("content").alias("field"), text.code_tokens(F.col("text")).alias("tokens"))
+        by, sizes = index.query_field_postings(tokens, terms)
+        sets.append([sorted(map(tuple, x.collect())) for x in (posts, lengths, by, sizes)])
+    assert sets[0] == sets[1] and sets[0][0] == [(1, "alpha", 2), (1, "gamma", 1), (4, "gamma", 1)] and len(sets[0][1]) == 4
+
+
+def test_compressed_postings(spark):
+    rows = [("a", 3, 2, [0, 6]), ("a", 70_000, 1, [4]), ("b", 5, 1, [1])]
+    posts = spark.createDataFrame(rows, "term string, doc bigint, tf bigint, positions array<int>")
+    got = {(r["term"], r["part"]): postings_codec.decode_postings(bytes(r["postings"])) for r in postings_codec.compressed(posts).collect()}
+    assert got == {("a", 0): [(3, 2, [0, 6])], ("a", 1): [(70_000, 1, [4])], ("b", 0): [(5, 1, [1])]}
+    assert postings_codec.position_gaps(posts).where("doc = 3").first()["gaps"] == [0, 6]
+
+
+def test_any_analyser_will_do(spark):
+    docs = spark.createDataFrame([(1, "A-b c")], "doc_id int, text string")
+    assert index.token_arrays(docs, "doc_id", "text", lambda c: F.split(c, " ")).first()["tokens"] == ["A-b", "c"]
+    by_field = spark.createDataFrame([("x", 1, "content", 2), ("x", 1, "path", 1)], "term string, doc_id int, field string, tf int")
+    assert index.assembled_postings(by_field).first()["field_tf"] == {"content": 2, "path": 1}

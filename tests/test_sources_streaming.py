@@ -1,6 +1,7 @@
 """Corpus scan, snapshots, judgments, the event log and incremental upkeep."""
 
 import json
+import subprocess
 import time
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from loomsearch import cli
-from loomsearch.operators import features, index
+from loomsearch.operators import features, fields, index, query
 from loomsearch.sources import corpus, tables
 from loomsearch.streaming import event_log as log
 from loomsearch.streaming import maintenance as up
@@ -155,3 +156,81 @@ def test_command_line(spark, root, tmp_path_factory, capsys):
     assert said("-e", "--eval-data", str(judgments), "-r", "bm25", "--eval-compare", str(root / "base.json"))[0] == 1
     with pytest.raises(SystemExit):
         cli.arguments(["-n", "0"])
+
+
+def test_all_fields_have_their_analyser(spark):
+    files = {"src/user_repo.rs": "use std::fs;\n// Running the parsers\nfn load_user() { let x = \"quoted words\"; }\n", "doc.md": "---\ntitle: Running notes\n---\n# Parsers run\nThe running parsers\n", "odd.txt": "running # a comment of sorts"}
+    tokens = {(r["path"], r["field"]): r["tokens"] for r in up.tokens_of(version_of(spark, files)).collect()}
+    assert tokens["src/user_repo.rs", "comments"] == ["run", "parser"] and {"titl", "run", "note", "parser"} <= {*tokens["doc.md", "content"]} and "running" not in tokens["doc.md", "content"]
+    assert "running" in tokens["src/user_repo.rs", "content"] and "load_user" in tokens["src/user_repo.rs", "symbols"] and "std" in tokens["src/user_repo.rs", "imports"]
+    assert tokens["src/user_repo.rs", "string_literals"] == ["quoted", "words"] and tokens["doc.md", "frontmatter"] == ["titl", "run", "note"]
+    assert "run" in tokens["odd.txt", "content"] and {f for _, f in tokens} == {*fields.FIELDS}
+    flat = up.tokens_of(version_of(spark, {"a.md": "the running parsers ran"}), False, 2).first()["tokens"]
+    assert flat == ["run parser", "parser ran"]
+
+
+def test_engine_polls_files(spark, tmp_path):
+    engine = up.Engine(spark, str(tmp_path / "v"), up.build(version_of(spark, {"a": "x", "b": "y"}), False), False)
+    now = version_of(spark, {"a": "x", "b": "z", "c": "w"})
+    assert engine.poll(str(tmp_path / "log"), now) == 2 and engine.poll(str(tmp_path / "log"), now) == 0
+    assert rows(engine.version.docs) == rows(now) and log.read_events(spark, str(tmp_path / "log")).count() == 2
+    looks = iter([False, True])
+    engine.watch(str(tmp_path / "log"), lambda: version_of(spark, {"a": "x"}), 0.0, lambda: next(looks))
+    assert engine.count() == 1
+
+
+def test_events_are_numbered_in_order(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    for start in (0, 40):
+        some = spark.range(start, start + 40, 1, 5).select(F.lit(log.ADDED).alias("kind"), F.format_string("p%03d", "id").alias("path"))
+        log.append_events(some, folder)
+    assert [tuple(r) for r in log.read_events(spark, folder).orderBy("seq").select("seq", "path").collect()] == [(i, f"p{i:03d}") for i in range(80)]
+
+
+def test_clone(tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=x", "-c", "user.email=x@example.com", *a], check=True, capture_output=True, text=True).stdout.strip()
+    (tmp_path / "r").mkdir()
+    git("init", "-q")
+    for body in ("one", "two"):
+        (tmp_path / "r" / "f").write_text(body)
+        git("add", "f")
+        git("commit", "-q", "-m", body)
+    first = git("rev-parse", "HEAD~1")
+    work = corpus.clone(str(tmp_path / "r"), first, str(tmp_path / "w"))
+    assert (tmp_path / "w" / "f").read_text() == "one" and corpus.clone(str(tmp_path / "r"), first, work, fresh=True) == work
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x").write_text("kept")
+    with pytest.raises(ValueError, match="other files"):
+        corpus.clone(str(tmp_path / "r"), first, str(tmp_path / "other"), fresh=True)
+
+
+def test_stored_index(spark, root, tmp_path_factory, capsys, monkeypatch):
+    place = str(tmp_path_factory.mktemp("index"))
+    said = lambda *a: (cli.main(["-d", str(root), "--index-dir", place, *a], spark), capsys.readouterr().out)[1]
+    plain = {}
+    for algorithm in ("bm25f", "ql", "cosim"):
+        plain[algorithm] = said("-r", algorithm, "needle token")
+    assert said("regex", "needle t") == "src/lib.rs:1-1:0..8: needle t\n"
+    with monkeypatch.context() as m:  # all comes from the stored tables
+        m.setattr(up, "tokens_of", None)
+        m.setattr(cli.regex_search, "trigram_postings", None)
+        assert all(said("-r", a, "needle token") == p for a, p in plain.items()) and said("regex", "needle t").startswith("src/lib.rs")
+    (root / "src/lib.rs").write_text("nothing here")
+    (root / "new.rs").write_text("needle token of new")
+    for kind in ("fielded", "grams"):
+        log.append_events(spark.createDataFrame([(log.MODIFIED, "src/lib.rs"), (log.ADDED, "new.rs")], "kind string, path string"), f"{place}/{kind}/events")
+    assert said("-r", "bm25f", "needle token").startswith("new.rs") and log.read_events(spark, f"{place}/fielded/events").count() == 0
+    assert said("regex", "needle t") == "new.rs:1-1:0..8: needle t\n" and said("regex", "needle t") == "new.rs:1-1:0..8: needle t\n"
+
+
+def test_explanations_add_up(spark, root):
+    docs = corpus.scan(spark, str(root))[0]
+    for algorithm in ("bm25f", "bm25-proximity", "bm25"):
+        search = cli.Search(docs, algorithm)
+        q = query.queries_of(spark, ['"needle token"'])
+        found = search.rank(q, 5)
+        got = search.explained(q, found).collect()
+        assert len(got) == found.count() > 0
+        for r in got:
+            assert r["score"] == pytest.approx(sum(t["contribution"] for t in r["terms"]) + sum(t["contribution"] for t in r["static"]) + r["positional"], abs=1e-6)
+            assert sum(f["field_contribution"] for f in r["fields"]) == pytest.approx(sum(t["contribution"] for t in r["terms"]))
