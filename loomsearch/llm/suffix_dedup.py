@@ -162,22 +162,24 @@ def build(contexts: np.ndarray, sizes: np.ndarray, length: int, files: Files) ->
         before = np.zeros(len(key), np.int64)
         prev_ctx, prev_col = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
         next_ctx, next_col = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
-        seen = 0
+        seen = done = 0
         last: tuple[int, int] | None = None
-        for part in files.read():
+        for part in files.read():  # keys and records are both in order, so each key is looked up in one part only
             old = (part["first"].astype(np.uint64) << np.uint64(32)) | part["link"].astype(np.uint64)
-            slot = np.searchsorted(old, key)
-            mine = (slot > 0) & (slot <= len(old))
-            before[mine] = seen + slot[mine]
-            prev_ctx[mine], prev_col[mine] = part["context"][slot[mine] - 1], part["column"][slot[mine] - 1]
-            follows = slot < len(old)
-            fresh = follows & (next_ctx < 0)
-            next_ctx[fresh], next_col[fresh] = part["context"][slot[fresh]], part["column"][slot[fresh]]
+            low, high = (int(x) for x in np.searchsorted(key, old[[0, -1]]))
+            between = slice(done, low)
+            before[between], next_ctx[between], next_col[between] = seen, part["context"][0], part["column"][0]
             if last is not None:
-                edge = fresh & (slot == 0) & (before == seen) & (prev_ctx < 0)
-                prev_ctx[edge], prev_col[edge] = last
-            seen += len(old)
-            last = int(part["context"][-1]), int(part["column"][-1])
+                prev_ctx[between], prev_col[between] = last
+            within = slice(low, high)
+            slot = np.searchsorted(old, key[within])
+            before[within] = seen + slot
+            prev_ctx[within], prev_col[within] = part["context"][slot - 1], part["column"][slot - 1]
+            next_ctx[within], next_col[within] = part["context"][slot], part["column"][slot]
+            seen, done, last = seen + len(old), high, (int(part["context"][-1]), int(part["column"][-1]))
+        before[done:] = seen
+        if last is not None:
+            prev_ctx[done:], prev_col[done:] = last
 
         spots = before + np.arange(len(key))  # places in the new order, without the empty suffixes
         # neighbours that are new themselves
@@ -195,11 +197,11 @@ def build(contexts: np.ndarray, sizes: np.ndarray, length: int, files: Files) ->
         new = np.zeros(len(key), _RECORD)
         new["first"], new["context"], new["column"], new["lcp"] = key >> np.uint64(32), joins, at, lcp
         link = place[joins]
+        ahead = np.cumsum(np.bincount(before, minlength=seen + 1), dtype=np.int64)  # new suffixes up to each old one
 
-        def moved(old_place: np.ndarray, before=before, n=n) -> np.ndarray:
+        def moved(old_place: np.ndarray, ahead=ahead, n=n) -> np.ndarray:
             """Places after this round of suffixes at places of the round before; empty suffixes stay in front."""
-            real = old_place >= n
-            return np.where(real, old_place + np.searchsorted(before, old_place - n, "right"), old_place)
+            return np.where(old_place >= n, old_place + ahead[np.maximum(old_place - n, 0)], old_place)
 
         new["link"] = moved(link)
 

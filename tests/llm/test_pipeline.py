@@ -33,6 +33,15 @@ def test_stages_give_what_the_operators_give(spark, docs_of, odd_rows, tmp_path)
     assert len(ids & {i for i in range(200) if i % 4}) >= 140
 
 
+def test_empty_table(spark, docs_of, tmp_path):
+    docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some words of an item")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs_of([]), str(tmp_path)).columns == docs_of([]).columns, name
+
+
 def test_stages():
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "ngram_jaccard_join", "decontamination", "packing"]
     assert sum(k.startswith("op") for k in queries.QUERIES) == 10 and set(queries.ORACLES) < set(queries.QUERIES)
