@@ -203,6 +203,12 @@ def required(planned: All | And | Or, body: Column) -> Column | None:
     return None
 
 
+def line_range(data: bytes, start: int, end: int, line: int = 1, since: int = 0) -> tuple[int, int]:
+    """Lines, from 1, of a byte range, counted on from byte `since` in `line`; the end counts breaks before the exclusive end."""
+    first = line + data.count(b"\n", since, start)
+    return first, first if start == end else first + data.count(b"\n", start, end)
+
+
 def verified(docs: DataFrame, key: str, content: str, pattern: str, literal: bool = False) -> DataFrame:
     """`(doc_id, byte_start, byte_end, line_start, line_end, matched_text)` of all leftmost matches without overlap.
 
@@ -219,14 +225,15 @@ def verified(docs: DataFrame, key: str, content: str, pattern: str, literal: boo
         for df in frames:
             out = []
             for doc, body in zip(df["doc_id"], df["body"]):
-                at = done = 0
-                line = 1
+                data, at, done, line = None, 0, 0, 1
                 for m in compiled.finditer(body):
-                    between = body[done : m.start()]
-                    at += len(between.encode())
-                    line += between.count("\n")
-                    done = m.start()
-                    out.append((doc, at, at + len(m.group().encode()), line, line + m.group().count("\n"), m.group()))
+                    if data is None:
+                        data = body.encode()
+                    start = at + len(body[done : m.start()].encode())
+                    end = start + len(m.group().encode())
+                    first, last = line_range(data, start, end, line, at)
+                    out.append((doc, start, end, first, last, m.group()))
+                    at, done, line = start, m.start(), first
             yield pd.DataFrame(out, columns=["doc_id", "byte_start", "byte_end", "line_start", "line_end", "matched_text"])
 
     return source.mapInPandas(run, f"doc_id bigint, {MATCH}")
