@@ -5,10 +5,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 _EXCEPTIONS = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli",
     "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
@@ -118,12 +114,6 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
-@F.pandas_udf(T.StringType())
-def stem_column(words: pd.Series) -> pd.Series:
-    """Meant for distinct terms: stem those and join the result back."""
-    return words.map(lambda w: None if w is None else stem(w))
-
-
 def stemmed_stream(lexemes: list[list[str]]) -> list[str]:
     """Terms of the pieces of each lexeme, those marked `~` stemmed and those marked `=` not, each once in its lexeme."""
     return [t for pieces in lexemes for t in dict.fromkeys(stem(p[1:]) if p[0] == "~" else p[1:] for p in pieces)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomsearch.functions import stop_words, text
-from loomsearch.functions.stemmer import stem_column, stemmed_stream
+from loomsearch.functions.stemmer import stemmed_stream
 
 
 def with_prose_tokens(df: DataFrame, content: Column, name: str = "tokens", stops: list[str] | None = None) -> DataFrame:
@@ -154,15 +154,9 @@ def top_terms(posts: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def prose_postings(docs: DataFrame, key: str, content: str = "text", stops: list[str] | None = None) -> DataFrame:
-    """`(key, term, tf)` of the prose analyser: stop words out, parts stemmed, each term once in a lexeme.
-
-    The stemmer sees each distinct part once; its results are joined back.
-    """
-    pieces = text.prose_pieces(F.col(content), stop_words.ENGLISH if stops is None else stops)
-    each = docs.select(key, F.posexplode(pieces).alias("lexeme", "pieces")).select(key, "lexeme", F.posexplode("pieces").alias("i", "piece")).select(key, "lexeme", "piece.term", "piece.stem")
-    stems = each.where("stem").select("term").distinct().withColumn("stemmed", stem_column("term"))
-    joined = each.join(stems, "term", "left").select(key, "lexeme", F.when(F.col("stem"), F.col("stemmed")).otherwise(F.col("term")).alias("term"))
-    return joined.distinct().groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """`(key, term, tf)` of the prose analyser: stop words out, parts stemmed, each term once in a lexeme; one shuffle."""
+    tokens = with_prose_tokens(docs.select(key, F.col(content).alias("_text")), F.col("_text"), "_terms", stops)
+    return tokens.select(key, F.explode("_terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def ngram_postings(docs: DataFrame, key: str, n: int, content: str = "text", analyze: Callable[[Column], Column] = text.code_tokens) -> DataFrame:
