@@ -4,6 +4,9 @@ Tokens are 64-bit numbers whose low 58 bits are hashed. Each task packs its toke
 row for each token would cost several times the bytes. A bucket's task finds runs of equal tokens, pairs the keys in
 them and packs the pairs with their counts, by the key that comes first; the last task adds up and filters. Pairs are
 packed as differences, for in a group of copies each key has all the others next to it. Each key comes with its size.
+
+Keys of one label are known to be linked, and aren't paired: n near copies would give n * n / 2 pairs for each token
+that they share. A task packs what it has counted whenever it holds about `PAIRS` pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "bucket int, payload binary"
+PAIRS = 1 << 20
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 _PAIRS = pa.schema([("key_a", pa.int64()), ("key_b", pa.int64()), ("shared", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -157,19 +161,23 @@ class _Counter:
 
     def __init__(self, most: int = 1 << 22):
         self.parts: list[tuple[np.ndarray, np.ndarray | None]] = []
-        self.held, self.most = 0, most
+        self.held, self.most, self.distinct = 0, most, 0
 
     def add(self, codes: np.ndarray) -> None:
         self.parts.append((codes, None))
         self.held += len(codes)
         if self.held > self.most:
             codes, counts = self.total()
-            self.parts, self.held = [(codes, counts)], 0
+            self.parts, self.held, self.distinct = [(codes, counts)], 0, len(codes)
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         fresh = [c for c, n in self.parts if n is None]
         old = [(c, n) for c, n in self.parts if n is not None]
-        codes, counts = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if fresh:  # a plain sort is many times faster than `np.unique`
+            codes = np.sort(np.concatenate(fresh))
+            at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else counts
+            codes, counts = codes[at], np.diff(np.append(at, len(codes)))
         for c, n in old:
             both = np.concatenate([codes, c])
             codes, back = np.unique(both, return_inverse=True)
@@ -177,45 +185,42 @@ class _Counter:
         return codes, counts
 
 
-def _run_pairs(tok: np.ndarray, own: np.ndarray, places: np.ndarray, sizes: np.ndarray, ratio: float, evident: Callable | None, counter: _Counter, width: int) -> None:
-    """Pairs of owners of equal tokens with the smaller size at least `ratio` of the larger; owners are by size.
+def _run_pairs(tok: np.ndarray, own: np.ndarray, places: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ratio: float, evident: Callable | None, width: int) -> Iterator[np.ndarray]:
+    """Pairs of owners of equal tokens with the smaller size at least `ratio` of the larger and unlike labels.
 
-    A pair is counted as twice its number, and one more where the token is evidence.
+    Owners are by size. A pair is coded as twice its number, and one more where the token is evidence.
     """
-    order = np.lexsort((own, tok))
+    order = np.lexsort((own, labels[own], tok))
     tok, own, places = tok[order], own[order], places[order]
     fresh = np.ones(len(tok), bool)
     fresh[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])  # an owner packed by several tasks counts once
     tok, own, places = tok[fresh], own[fresh].astype(np.int64), places[fresh]
-    edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]])) if len(tok) else np.zeros(1, np.int64)
-    length = np.diff(edge)
-    many = length > 1
-    start, length = edge[:-1][many], length[many]
-    if not len(start):
+    if not len(tok):
         return
-    # each element is paired with those after it in its run, up to the largest size that fits
-    total = int(length.sum())
-    run = np.repeat(np.arange(len(start)), length)
-    at = np.repeat(start, length) + np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    after = (start + length)[run] - at - 1
-    begin = 0
-    steps = np.cumsum(after)
-    while begin < total:
+    ends, differs = [], tok[1:] != tok[:-1]
+    for change in (differs, differs | (labels[own[1:]] != labels[own[:-1]])):
+        edge = np.flatnonzero(np.concatenate([[True], change, [True]]))
+        ends.append(np.repeat(edge[1:], np.diff(edge)))
+    # each element is paired with those of its run that come after the ones of its label
+    at = np.flatnonzero(ends[0] > ends[1])
+    begin_at, after = ends[1][at], (ends[0] - ends[1])[at]
+    begin, steps = 0, np.cumsum(after)
+    while begin < len(at):
         done = steps[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(steps, done + (1 << 20), "right")))
-        a = np.repeat(at[begin:end], after[begin:end])
-        if len(a):
-            lead = np.cumsum(after[begin:end]) - after[begin:end]
-            b = a + 1 + np.arange(len(a)) - np.repeat(lead, after[begin:end])
-            x, y = own[a], own[b]
-            fits = sizes[x] >= ratio * sizes[y] - 1e-9
-            x, y = x[fits], y[fits]
-            proof = 1 if evident is None else evident(sizes[x], sizes[y], places[a[fits]], places[b[fits]])
-            counter.add((x * width + y) * 2 + proof)
+        n = after[begin:end]
+        a = np.repeat(at[begin:end], n)
+        b = np.repeat(begin_at[begin:end] - (np.cumsum(n) - n), n) + np.arange(len(a))
+        a, b = np.where(own[a] < own[b], a, b), np.where(own[a] < own[b], b, a)
+        x, y = own[a], own[b]
+        fits = sizes[x] >= ratio * sizes[y] - 1e-9
+        x, y = x[fits], y[fits]
+        proof = 1 if evident is None else evident(sizes[x], sizes[y], places[a[fits]], places[b[fits]])
+        yield (x * width + y) * 2 + proof
         begin = end
 
 
-def _count(numbers: list[int], ratio: float, evident: Callable | None):
+def _count(numbers: list[int], ratio: float, evident: Callable | None, labels):
     marks = np.array(numbers, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,21 +239,34 @@ def _count(numbers: list[int], ratio: float, evident: Callable | None):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         width = len(key_of)
-        counter = _Counter()
-        _run_pairs(tok, place[of[own]], places, size_of, ratio, evident, counter, width)
-        codes, counts = counter.total()
-        proof, codes = codes & 1, codes >> 1
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        if len(codes):
-            codes, counts, proof = codes[first], np.add.reduceat(counts, first), np.maximum.reduceat(proof, first)
-        a, b = codes // width, codes % width
-        part = (key_of[a].astype(np.uint64) % np.uint64(1000003)).astype(np.int64) % len(marks)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(len(marks) + 1))
-        for p, (s, e) in enumerate(zip(edges, edges[1:])):
-            for i in range(s, e, 1 << 22):
-                own = order[i : min(e, i + (1 << 22))]
-                yield pa.record_batch([pa.array([marks[p]], pa.int32()), pa.array([pack_pairs(key_of, size_of, a[own], b[own], counts[own], proof[own])], pa.binary())], schema=_SCHEMA)
+        label_of = np.arange(width)
+        if labels is not None and len(labels.value[0]):
+            known, label = labels.value
+            near = np.minimum(np.searchsorted(known, key_of), len(known) - 1)
+            label_of = np.where(known[near] == key_of, width + label[near], label_of)
+
+        def packed(counter: _Counter) -> Iterator[pa.RecordBatch]:
+            codes, counts = counter.total()
+            proof, codes = codes & 1, codes >> 1
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+            if len(codes):
+                codes, counts, proof = codes[first], np.add.reduceat(counts, first), np.maximum.reduceat(proof, first)
+            a, b = codes // width, codes % width
+            part = (key_of[a].astype(np.uint64) % np.uint64(1000003)).astype(np.int64) % len(marks)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(len(marks) + 1))
+            for p, (s, e) in enumerate(zip(edges, edges[1:])):
+                if s < e:
+                    own = order[s:e]
+                    yield pa.record_batch([pa.array([marks[p]], pa.int32()), pa.array([pack_pairs(key_of, size_of, a[own], b[own], counts[own], proof[own])], pa.binary())], schema=_SCHEMA)
+
+        counter = _Counter(PAIRS)
+        for codes in _run_pairs(tok, place[of[own]], places, size_of, label_of, ratio, evident, width):
+            counter.add(codes)
+            if counter.distinct > PAIRS:  # the next task adds up
+                yield from packed(counter)
+                counter = _Counter(PAIRS)
+        yield from packed(counter)
 
     return run
 
@@ -293,16 +311,18 @@ def _add_up(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], ed
     return run
 
 
-def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Callable, evident: Callable | None = None, edges_only: bool = False) -> DataFrame:
+def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Callable, evident: Callable | None = None, edges_only: bool = False, labels=None) -> DataFrame:
     """`(key_a, key_b, shared)`, each pair of keys once, where `keep(size_a, size_b, shared)` holds.
 
     With `evident(size_a, size_b, place_a, place_b)` it must hold for one of the shared tokens; tokens are then packed
     with their places.
 
+    `labels` is a broadcast of `(keys, labels)`, by key and with labels from 0 on: keys of one label aren't paired.
+
     With `edges_only`, `(a, b)` edges that link the same keys as those pairs do, no more than keys in each task.
     """
     parts = len(numbers)
-    counted = packed.repartition(parts, "bucket").mapInArrow(_count(numbers, ratio, evident), PACKED)
+    counted = packed.repartition(parts, "bucket").mapInArrow(_count(numbers, ratio, evident, labels), PACKED)
     out = "a bigint, b bigint" if edges_only else "key_a bigint, key_b bigint, shared bigint"
     return counted.repartition(parts, "bucket").mapInArrow(_add_up(keep, edges_only), out)
 

@@ -5,7 +5,8 @@ two sets with Jaccard similarity of `t` or more share a gram within their prefix
 Documents with the same prefix and size form one group, known by a 64-bit hash of both; groups are paired over their
 prefix grams. A pair of groups of sizes x and y stays only if the shared prefix grams, with all that may lie behind the
 prefixes, can reach the overlap need = t / (1 + t) * (x + y), and one of them is among the first x - need + 1 and
-y - need + 1 grams.
+y - need + 1 grams. Groups of which sets agree in four minima of hashes at once are linked beforehand: in large
+clusters of near copies that links nearly all, so these aren't paired for each of the many grams they share.
 
 Groups that such pairs link are expanded together: each distinct gram set of their members goes once, with
 its documents counted, to the block of its component, where all pairs are verified on the full sets. So the pairs
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 
 from loomsearch.llm import _pairs, _shared, _words
 
-_GROUPS = pa.schema([("doc_id", pa.int64()), ("group", pa.int64()), ("set", pa.int64()), ("size", pa.int64())])
+_GROUPS = pa.schema([("doc_id", pa.int64()), ("group", pa.int64()), ("set", pa.int64()), ("size", pa.int64()), ("bands", pa.binary())])
+_BAND = pa.schema([("group", pa.int64()), ("band", pa.int64())])
 _SETS = pa.schema([("set", pa.int64()), ("grams", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-TOKENS = 1 << 23  # prefix grams of a bucket, about
+TOKENS = 1 << 20  # prefix grams of a bucket, about
+BANDS, ROWS = 8, 4  # of minima of hashes
+LARGE, LABELLED = 16, 1 << 22  # least groups of a cluster that is linked beforehand; groups in all
 PART_SETS, PART_BYTES = 1024, 16 << 20  # of a block
 TILE, SLAB = 256, 8192
 
@@ -103,12 +107,59 @@ def _prefixes(n: int, t: float, grades, numbers: list[int]):
     return run
 
 
+_FACTORS = _words.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """Hashes of `ROWS` minima each; sets with Jaccard similarity s agree in one with probability s**`ROWS`."""
+    x, least = grams << np.uint64(6), np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(x), 4096):
+        least = np.minimum(least, (x[None, i : i + 4096] * _FACTORS[:, None]).min(1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = _words.mix(out * np.uint64(0xD6E8FEB86659FD93) + row)
+    return out.view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        held = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        groups = np.repeat(b.column(0).to_numpy(), BANDS)
+        yield pa.record_batch([pa.array(groups), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], schema=_BAND)
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by band; edges between neighbours of one band."""
+    group, band = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        group, band = (np.concatenate([x[-1:], c.to_numpy()]) for x, c in zip((group, band), b.columns))
+        same = (band[1:] == band[:-1]) & (group[1:] != group[:-1])
+        yield pa.record_batch([pa.array(group[:-1][same]), pa.array(group[1:][same])], schema=_LINKS)
+
+
+def clusters(sets: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """Edges `(a, b)` between groups of `(group, bands)` rows that share a band, and the labels of large clusters.
+
+    A label only spares pairs: the groups of one are linked by the edges. Those of the largest clusters are given.
+    """
+    rows = sets.mapInArrow(_banded, "group bigint, band bigint").repartition("band").sortWithinPartitions("band", "group")
+    edges = _shared.cut(rows.mapInArrow(_chained, "a bigint, b bigint").distinct())
+    node = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    placed = _shared.cut(components(edges, node))
+    large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE)
+    found = placed.join(large, "component").orderBy(F.desc("n"), "component").limit(LABELLED).select("node", "component").toArrow()
+    node, component = found["node"].to_numpy(), found["component"].to_numpy()
+    order = np.argsort(node)
+    kept = edges.join(placed.join(large, "component").select(F.col("node").alias("a")), "a", "left_semi")
+    return kept, (node[order], np.unique(component, return_inverse=True)[1][order].astype(np.int64))
+
+
 def _groups(n: int, t: float, grades):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows = [(ids[i], _group_of(g, t)[0], _hash(g.tobytes()), len(g)) for i, g in gram_sets(b.column(1), n, grades.value) if len(g)]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 4, _GROUPS)], schema=_GROUPS)
+            rows = [(ids[i], _group_of(g, t)[0], _hash(g.tobytes()), len(g), bands(g).tobytes()) for i, g in gram_sets(b.column(1), n, grades.value) if len(g)]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 5, _GROUPS)], schema=_GROUPS)
 
     return run
 
@@ -282,13 +333,16 @@ def similar_sets(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFram
     grades, total = gram_grades(texts, n)
     grades = spark.sparkContext.broadcast(grades)
     numbers = _pairs.buckets(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t) / TOKENS)))
+    grouped = texts.mapInArrow(_groups(n, t, grades), "doc_id bigint, group bigint, set bigint, size bigint, bands binary").dropDuplicates(["set", "doc_id"])
+    members = _shared.cut(grouped)
+    sets = _shared.cut(members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("group").alias("group"), F.min("size").alias("size"), F.count("*").alias("n"), F.min("bands").alias("bands")))
+    known, labels = clusters(sets.select("group", "bands"))
+
     packed = texts.select("text").mapInArrow(_prefixes(n, t, grades, numbers), _pairs.PACKED)
-    edges = _shared.cut(_pairs.sharing_pairs(packed, numbers, t, _reaches(t), _evident(t), edges_only=True))
+    paired = _pairs.sharing_pairs(packed, numbers, t, _reaches(t), _evident(t), edges_only=True, labels=spark.sparkContext.broadcast(labels))
+    edges = _shared.cut(paired.unionByName(known))
     linked = components(edges, edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
 
-    members = _shared.cut(texts.mapInArrow(_groups(n, t, grades), "doc_id bigint, group bigint, set bigint, size bigint").dropDuplicates(["set", "doc_id"]))
-    sets = _shared.cut(members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("group").alias("group"), F.min("size").alias("size"), F.count("*").alias("n")))
-
     # expansion: the sets of linked groups, and of one group where its members differ behind the prefix, by component
     placed = sets.join(linked.withColumnRenamed("node", "group"), "group", "left").withColumn("component", F.coalesce("component", "group"))
     loads = placed.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("grams")).where("sets > 1")

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -147,3 +148,32 @@ def test_packed_tokens_round_trip():
         assert (sizes == keys * 5).all()
         seen |= {(int(keys[o]), int(t), int(p)) for o, t, p in zip(own, tok, places)}
     assert seen == {(k, int(x) & (1 << 40) - 1, i) for k, t in given_.items() for i, x in enumerate(t)}
+
+
+def test_clusters_linked_beforehand(docs_of, odd_rows, monkeypatch):
+    """Labels of all clusters, and of some groups of them only, spare pairs and change no result."""
+    rows = some_rows(8) + odd_rows
+    monkeypatch.setattr(ngram_join, "LARGE", 2)
+    for most in (1 << 22, 30):
+        monkeypatch.setattr(ngram_join, "LABELLED", most)
+        assert found(ngram_join.jaccard_join(docs_of(rows))) == brute(rows)
+
+
+def test_memory_of_a_large_cluster():
+    """5,000 keys share two tokens: 12.5 million pairs aren't held at once, and with one label not made."""
+    packer = _pairs.Packer([0], placed=True)
+    for key in range(5_000):
+        packer.add(key, np.arange(2, dtype=np.uint64), 2)
+    batches = list(packer.flush())
+
+    class Labels:
+        value = np.arange(5_000), np.zeros(5_000, np.int64)
+
+    always = lambda x, y, i, j: np.ones(len(x), bool)
+    assert not list(_pairs._count([0], 0.6, always, Labels)(iter(batches)))
+    tracemalloc.start()
+    pairs = [len(_pairs.unpack_pairs(b.column(1)[0].as_py())[2]) for b in _pairs._count([0], 0.6, always, None)(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(pairs) >= 5_000 * 4_999 // 2
+    assert peak < 600e6
