@@ -111,11 +111,55 @@ def _all(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return np.ones(len(x), bool)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    links = _pairs.Links()
-    for b in batches:
-        links.add(*(c.to_numpy() for c in b.columns))
-    yield from links.rows()
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of byte strings of 1 to 64 characters, a column of all pairs at a time (Myers)."""
+    x, y = (s.astype("S64").view(np.uint8).reshape(-1, 64) for s in (a, b))
+    m, n = np.count_nonzero(x, axis=1), np.count_nonzero(y, axis=1)
+    one = np.uint64(1)
+    top, score = (m - 1).astype(np.uint64), m.astype(np.int64)
+    up, down = np.full(len(m), (1 << 64) - 1, np.uint64), np.zeros(len(m), np.uint64)
+    for j in range(int(n.max(initial=0))):
+        eq = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little").view(np.uint64).ravel()
+        across = (((eq & up) + up) ^ up) | eq
+        more, less = down | ~(across | up), up & across
+        score += np.where(j < n, ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64), 0)
+        more, less, eq = (more << one) | one, less << one, eq | down
+        up, down = less | ~(eq | more), more & eq
+    return score
+
+
+def scores(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Scores of pairs of signatures; -1 under `least` or without seven characters in a row that both have."""
+    out = np.full(len(a), -1)
+    m, n = np.char.str_len(a), np.char.str_len(b)
+    at = np.flatnonzero((np.minimum(m, n) * 100 >= np.maximum(m, n) * least) & (np.minimum(m, n) >= GRAM))
+    for i in range(0, len(at), 1 << 12):
+        own = at[i : i + (1 << 12)]
+        d = distances(a[own], b[own])
+        score = np.floor(100 * (1 - d / np.maximum(m, n)[own])).astype(np.int64)
+        sure = m[own] - d >= (GRAM - 1) * (d + 1) + 1  # d edits leave d + 1 runs at most
+        for k in np.flatnonzero((score >= least) & ~sure):
+            x, y = a[own[k]], b[own[k]]
+            sure[k] = any(x[c : c + GRAM] in y for c in range(len(x) - GRAM + 1))
+        out[own] = np.where((score >= least) & sure, score, -1)
+    return out
+
+
+def _linked(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _pairs.Links()
+        for batch in batches:
+            key_a, key_b, n_a, n_b, block_a, _, _, block_b, _, _ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sig_a, sig2_a, sig_b, sig2_b = (np.array(batch.column(i).to_pylist(), "S64") for i in (5, 6, 8, 9))
+            best = np.full(len(key_a), -1)
+            for x, y, where in ((sig_a, sig_b, block_a == block_b), (sig2_a, sig2_b, block_a == block_b), (sig_a, sig2_b, block_a == 2 * block_b), (sig2_a, sig_b, block_b == 2 * block_a)):
+                at = np.flatnonzero(where)
+                best[at] = np.maximum(best[at], scores(x[at], y[at], least))
+            at = np.flatnonzero(best >= 0)
+            links.add(key_a[at], key_b[at], n_a[at], n_b[at], best[at].astype(np.float64))
+        yield from links.rows()
+
+    return run
 
 
 def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,22 +186,8 @@ def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col:
     side = lambda s: held.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "block", "sig", "sig2", "n")))
     both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
 
-    def compared(x: str, y: str):
-        a, b = F.col(x), F.col(y)
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - GRAM + 1)), lambda i: F.substring(a, i, F.lit(GRAM)))
-        longer = F.greatest(F.length(a), F.length(b))
-        score = F.floor(100 * (1 - F.levenshtein(a, b) / longer)).cast("int")
-        shares = F.exists(grams, lambda g: (F.length(g) == GRAM) & F.contains(b, g))
-        near = F.least(F.length(a), F.length(b)) * 100 >= longer * least  # else too few characters can agree
-        return F.when(near, F.when(score >= least, F.when(shares, score)))
-
-    best = (
-        F.when(F.col("block_a") == F.col("block_b"), F.greatest(compared("sig_a", "sig_b"), compared("sig2_a", "sig2_b")))
-        .when(F.col("block_a") == 2 * F.col("block_b"), compared("sig_a", "sig2_b"))
-        .when(F.col("block_b") == 2 * F.col("block_a"), compared("sig2_a", "sig_b"))
-    )
-    scored = both.select("key_a", "key_b", "n_a", "n_b", best.cast("double").alias("score")).where("score is not null")
-    linked = _shared.cut(scored.mapInArrow(_linked, _pairs.LINKS))
+    scored = both.select("key_a", "key_b", "n_a", "n_b", "block_a", "sig_a", "sig2_a", "block_b", "sig_b", "sig2_b")
+    linked = _shared.cut(scored.mapInArrow(_linked(least), _pairs.LINKS))
     named = ngram_join.classes(held.select(F.col("key").alias("node"), "rep", "n"), linked)
     found = named.join(held.select("name", F.col("key").alias("node")), "node")
     copies = F.col("n") - 1

@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from loomsearch.llm import fingerprint as fp
 
@@ -105,3 +108,14 @@ def test_copies_with_short_signatures_are_together(docs_of):
 def test_empty(docs_of):
     assert fp.fingerprint("") is None
     assert fp.matches(docs_of([])).count() == 0
+
+
+def test_distances_equal_the_slow_ones_in_time():
+    r = random.Random(4)
+    a = ["".join(r.choice("ABc+") for _ in range(r.choice([1, 7, 30, 63, 64]))) for _ in range(200)]
+    b = ["".join(c if r.random() < 0.8 else r.choice(["", "A", "cB"]) for c in x)[:64] or "B" for x in a]
+    x, y = np.array(a, "S64"), np.array(b, "S64")
+    assert fp.distances(x, y).tolist() == [distance(*p) for p in zip(a, b)]
+    start = time.thread_time()
+    fp.scores(np.tile(x, 250), np.tile(y, 250), 50)
+    assert time.thread_time() - start < 15
