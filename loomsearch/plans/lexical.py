@@ -83,8 +83,7 @@ def top_terms(spark, sf_dir):
 
 
 def doc_norms(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return rounded(index.doc_norms(index.postings(d, "doc_id"), index.doc_lengths(d, "doc_id"), "doc_id"), "norm")
+    return rounded(index.text_norms(docs(spark, sf_dir), "doc_id"), "norm")
 
 
 def positional_postings(spark, sf_dir):

@@ -36,8 +36,7 @@ def tfidf(spark, sf_dir):
 
 def cosine(spark, sf_dir):
     _, terms, posts, stats = _setup(spark, sf_dir)
-    d = docs(spark, sf_dir)
-    return _top(ranking.cosine(terms, posts, stats, index.doc_norms(index.postings(d, "doc_id"), stats.lengths, "doc_id")))
+    return _top(ranking.cosine(terms, posts, stats, index.text_norms(docs(spark, sf_dir), "doc_id", only=posts)))
 
 
 def ql_dirichlet(spark, sf_dir):
@@ -61,9 +60,9 @@ def bm25_batch(spark, sf_dir):
 
 
 def _positions(spark, sf_dir, terms):
-    """Positions of the query's terms only."""
-    each = index.positions(docs(spark, sf_dir), "doc_id").withColumn("field", F.lit("content"))
-    return each.join(terms.select("term").distinct(), "term", "left_semi")
+    """Positions of the query's terms only; the few that there are are kept, as phrases and spans both need them."""
+    each = index.positions(docs(spark, sf_dir), "doc_id", terms=index.few_terms(terms)).withColumn("field", F.lit("content"))
+    return each.join(terms.select("term").distinct(), "term", "left_semi").persist()
 
 
 def phrase_count(spark, sf_dir):
