@@ -9,12 +9,18 @@ import re._parser as sre
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomsearch.functions import text
+from loomsearch.llm import _words
+from loomsearch.operators import index
 
 MOST_TRIGRAMS = 8
 MATCH = "byte_start bigint, byte_end bigint, line_start bigint, line_end bigint, matched_text string"
@@ -264,13 +270,13 @@ POSITION_BUCKETS, NEXT_BUCKETS = 8, 128
 def trigram_masks(docs: DataFrame, key: str, content: str, grams: list[str] | None = None) -> DataFrame:
     """`(gram, doc_id, places, next_low, next_high)`: bits of position mod 8 and of the next character mod 128.
 
-    With `grams` only their rows are made, and the others are dropped before the shuffle.
+    With `grams` only their rows are made, each text being searched for them, without a shuffle.
     """
+    if grams is not None:
+        return _masks_of(docs, key, content, sorted(set(grams)))
     chars = docs.select(F.col(key).alias("doc_id"), F.filter(F.split(F.coalesce(content, F.lit("")), ""), lambda c: c != "").alias("chars"))
     at = F.posexplode(text.trigrams(F.col("chars"))).alias("pos", "gram")
     each = chars.select("doc_id", "chars", at).select("doc_id", "gram", "pos", F.get("chars", F.col("pos") + 3).alias("next"))
-    if grams is not None:
-        each = each.where(F.col("gram").isin(*grams))
     code = F.pmod(F.expr("ascii(next)"), F.lit(NEXT_BUCKETS))
     bit = lambda cond, shift: F.when(F.col("next").isNotNull() & cond, F.call_function("shiftleft", F.lit(1).cast("bigint"), shift.cast("int"))).otherwise(F.lit(0).cast("bigint"))
     return each.groupBy("gram", "doc_id").agg(
@@ -280,6 +286,33 @@ def trigram_masks(docs: DataFrame, key: str, content: str, grams: list[str] | No
     )
 
 
+def _masks_of(docs: DataFrame, key: str, content: str, grams: list[str]) -> DataFrame:
+    def made():
+        def of(body: str) -> list[list]:
+            rows = []
+            for g in grams:
+                at, places, low, high = body.find(g), 0, 0, 0
+                while at >= 0:
+                    places |= 1 << at % POSITION_BUCKETS
+                    if (after := at + len(g)) < len(body):
+                        code = ord(body[after]) % NEXT_BUCKETS
+                        low, high = (low | 1 << code, high) if code < 64 else (low, high | 1 << code - 64)
+                    at = body.find(g, at + 1)
+                if places:
+                    rows.append((g, places, *(x - (1 << 64) if x >> 63 else x for x in (low, high))))
+            return [list(c) for c in zip(*rows)] or [[], [], [], []]
+
+        return of
+
+    fields = T.StructType([T.StructField(n, k) for n, k in (("gram", T.StringType()), ("places", T.IntegerType()), ("next_low", T.LongType()), ("next_high", T.LongType()))])
+    source = docs.select(F.col(key).alias("doc_id"), F.col(content).alias("body"))
+    some = source.where(reduce(lambda a, b: a | b, [F.contains("body", F.lit(g)) for g in grams], F.lit(False)))
+    found = index.exploded(some, "doc_id", "body", fields, made).select("gram", "doc_id", "places", "next_low", "next_high")
+    if index.repeats(source, "doc_id"):
+        found = found.groupBy("gram", "doc_id").agg(*(F.bit_or(c).alias(c) for c in ("places", "next_low", "next_high")))
+    return found
+
+
 def masked_candidates(masks: DataFrame, candidates: DataFrame, literal: str) -> DataFrame:
     """Candidates whose masks allow the literal at some position mod 8; short literals leave them as they are."""
     if len(literal) < 4:
@@ -334,15 +367,126 @@ def sparse_covering(s: str) -> list[str]:
     return sorted(found)
 
 
-def sparse_postings(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """`(gram, doc_id)` of sparse n-grams."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            rows = [(g, d) for d, body in zip(df["doc_id"], df["body"]) for g in sparse_ngrams(body)]
-            yield pd.DataFrame(rows, columns=["gram", "doc_id"])
+def sparse_postings(docs: DataFrame, key: str, content: str, grams: list[str] | None = None) -> DataFrame:
+    """`(gram, doc_id)` of sparse n-grams, sent as they are found.
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(content, F.lit("")).alias("body")).mapInPandas(run, "gram string, doc_id bigint")
+    With `grams`, which are sparse n-grams, only theirs: whether a substring is one depends on nothing round it, so a
+    text that contains it has it.
+    """
+    if grams is not None:
+        held = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(content, F.lit("")).alias("body"))
+        sought = F.array(*map(F.lit, grams)).cast("array<string>")
+        return held.select(F.explode(F.filter(sought, lambda g: F.contains("body", g))).alias("gram"), "doc_id")
+    keyed = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(content).alias("body"))
+    fields = T.StructType([T.StructField("gram", T.StringType())])
+    return index.exploded(keyed, "doc_id", "body", fields, lambda: lambda body: [sparse_ngrams(body)]).select("gram", "doc_id")
+
+
+_WALL, _BETWEEN = np.int64(1 << 32), np.uint32(0x110000)
+CHARACTERS, CODES = 1 << 20, 1 << 23  # of texts whose grams are found at once, and of grams that a worker holds
+
+
+def _sparse_places(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the sparse n-grams of texts, each of which ends with `_BETWEEN`."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(chars) - 1, 0x811C9DC5, np.uint32)
+        for c in (chars[:-1], chars[1:]):
+            h = (h ^ c) * np.uint32(0x01000193)
+            h ^= h >> np.uint32(16)
+    w = np.where((chars[:-1] == _BETWEEN) | (chars[1:] == _BETWEEN), _WALL, h.astype(np.int64))
+    pairs = np.flatnonzero(w < _WALL)
+    threes = np.flatnonzero((w[:-1] < _WALL) & (w[1:] < _WALL))
+    starts, lengths = [pairs, threes], [np.full(len(pairs), 2), np.full(len(threes), 3)]
+    at = np.flatnonzero((w[:-1] < _WALL) & (w[1:] < w[:-1]))
+    edge, inside, ahead = w[at], w[at + 1], 2
+    while len(at):
+        following = w[at + ahead]
+        hit = at[(following > inside) & (following < _WALL)]
+        starts.append(hit)
+        lengths.append(np.full(len(hit), ahead + 2))
+        inside = np.maximum(inside, following)
+        on = inside < edge
+        at, edge, inside, ahead = at[on], edge[on], inside[on], ahead + 1
+    return np.concatenate(starts), np.concatenate(lengths)
+
+
+def _grams_of(texts: list[np.ndarray]) -> Iterator[tuple[str, np.ndarray, int]]:
+    """For classic and sparse grams: distinct codes, and how many postings the texts have.
+
+    The code of a classic gram is its three characters, mixed so that no two are the same; that of a sparse n-gram is
+    a hash of 64 bits.
+    """
+    chars = np.concatenate([x for t in texts for x in (t, [_BETWEEN])]).astype(np.uint32)
+    own = _words.mix(np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 1 for t in texts]) + np.uint64(1))
+    wide = chars.astype(np.uint64)
+    three = (wide[:-2] << np.uint64(42)) | (wide[1:-1] << np.uint64(21)) | wide[2:]
+    at = np.flatnonzero((chars[:-2] != _BETWEEN) & (chars[1:-1] != _BETWEEN) & (chars[2:] != _BETWEEN))
+    codes = _words.mix(three[at])
+    yield "classic", _words.distinct(codes), len(_words.distinct(codes ^ own[at]))
+    starts, lengths = _sparse_places(chars)
+    up, down = _words._powers(len(chars) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_words.mix(wide + np.uint64(1)) * up[: len(chars)])])
+    codes = _words.mix((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
+    yield "sparse", _words.distinct(codes), len(_words.distinct(codes ^ own[starts]))
+
+
+SLICES = 1 << 10  # of the codes by their first bits; a task counts one at a time
+_CODES = "kind string, slice int, codes binary, postings bigint"
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of each slice's distinct codes, and one of each kind's postings."""
+    codes: dict[str, list[np.ndarray]] = {"classic": [], "sparse": []}
+    postings = dict.fromkeys(codes, 0)
+    texts, held = [], 0
+
+    def rows(kind: str) -> pa.RecordBatch:
+        found = _words.distinct(np.concatenate(codes[kind]))
+        edges = np.append(np.searchsorted(found, np.arange(SLICES, dtype=np.uint64) << np.uint64(54)), len(found))
+        codes[kind] = []
+        full = np.flatnonzero(np.diff(edges))
+        parts = [found[edges[i] : edges[i + 1]].tobytes() for i in full]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(full)), pa.array(full, pa.int32()), pa.array(parts, pa.binary()), pa.array([0] * len(full), pa.int64())], ["kind", "slice", "codes", "postings"])
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        for kind, found, n in _grams_of(texts):
+            codes[kind].append(found)
+            postings[kind] += n
+            if sum(map(len, codes[kind])) >= CODES:
+                codes[kind] = [_words.distinct(np.concatenate(codes[kind]))]
+                if len(codes[kind][0]) >= CODES // 2:
+                    yield rows(kind)
+
+    for b in batches:
+        for x in b.column(0):
+            texts.append(np.frombuffer((x.as_py() or "").encode("utf-32-le"), np.uint32))
+            held += len(texts[-1])
+            if held >= CHARACTERS:
+                yield from settle()
+                texts, held = [], 0
+    if texts:
+        yield from settle()
+    for kind in codes:
+        if codes[kind]:
+            yield rows(kind)
+        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([postings[kind]], pa.int64())], ["kind", "slice", "codes", "postings"])
+
+
+def _count_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`(kind, grams, postings)` of each slice; rows come by kind and slice."""
+    for (kind, _), rows in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:2]):
+        parts, postings = [], 0
+        for _, _, codes, n in rows:
+            parts.append(np.frombuffer(codes, np.uint64))
+            postings += n
+        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([len(_words.distinct(np.concatenate(parts)))], pa.int64()), pa.array([postings], pa.int64())], ["kind", "grams", "postings"])
+
+
+def gram_counts(docs: DataFrame, content: str) -> DataFrame:
+    """`(kind, grams, postings)` of classic and sparse grams; only each task's distinct codes are shuffled, packed."""
+    packed = docs.select(F.col(content).alias("body")).mapInArrow(_gather, _CODES)
+    counted = packed.repartition("kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(_count_slices, "kind string, grams bigint, postings bigint")
+    return counted.groupBy("kind").agg(F.sum("grams").alias("grams"), F.sum("postings").alias("postings"))
 
 
 def sparse_candidates(sparse: DataFrame, ids: DataFrame, literal: str) -> DataFrame:
@@ -357,12 +501,14 @@ def sparse_candidates(sparse: DataFrame, ids: DataFrame, literal: str) -> DataFr
 def sparse_comparison(docs: DataFrame, key: str, content: str, literal: str) -> DataFrame:
     """One row that compares classic and sparse candidates of a literal."""
     ids = docs.select(F.col(key).cast("bigint").alias("doc_id"))
-    posts, sparse = trigram_postings(docs, key, content), sparse_postings(docs, key, content)
-    classic, thin = select(literal_plan(literal), posts, ids).candidates, sparse_candidates(sparse, ids, literal)
+    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(content, F.lit("")).alias("body"))
+    planned = literal_plan(literal)
+    classic = select(planned, plan_postings(source, "doc_id", "body", planned), ids).candidates
+    thin = sparse_candidates(sparse_postings(source, "doc_id", "body", sparse_covering(literal)), ids, literal)
     one = lambda df, name: df.agg(F.count("*").alias(name))
     out = one(ids, "documents").crossJoin(one(classic, "classic_candidates")).crossJoin(one(thin, "sparse_candidates")).crossJoin(one(classic.intersect(thin), "both"))
-    out = out.crossJoin(posts.agg(F.count_distinct("gram").alias("classic_grams"), F.count("*").alias("classic_postings")))
-    return out.crossJoin(sparse.agg(F.count_distinct("gram").alias("sparse_grams"), F.count("*").alias("sparse_postings")))
+    of = lambda kind, column: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(column))), F.lit(0)).cast("bigint").alias(f"{kind}_{column}")
+    return out.crossJoin(gram_counts(source, "body").agg(*(of(kind, c) for kind in ("classic", "sparse") for c in ("grams", "postings"))))
 
 
 def refresh(posts: DataFrame, changed: DataFrame, removed: DataFrame, key: str, content: str) -> DataFrame:

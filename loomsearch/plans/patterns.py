@@ -60,7 +60,7 @@ def masked_candidates(spark, sf_dir):
 
 def sparse_candidates(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return rx.sparse_candidates(rx.sparse_postings(d, "doc_id", "text"), d.select("doc_id"), LITERAL)
+    return rx.sparse_candidates(rx.sparse_postings(d, "doc_id", "text", rx.sparse_covering(LITERAL)), d.select("doc_id"), LITERAL)
 
 
 def sparse_comparison(spark, sf_dir):

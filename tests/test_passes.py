@@ -53,3 +53,24 @@ def test_norms_of_texts(spark, monkeypatch):
             assert rounded(index.text_norms(df, "doc_id")) == want
         some = docs.where("doc_id < 7")
         assert rounded(index.text_norms(df, "doc_id", only=some)) == [r for r in want if r[0] < 7]
+
+
+def test_gram_counts_and_masks(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcé😀\n", k=rng.randint(0, 40))) for _ in range(50)] + ["", "a", None, "aaaa", "x" * 300]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, body string").repartition(3)
+    monkeypatch.setattr(rx, "CHARACTERS", 100)
+    found = {r["kind"]: (r["grams"], r["postings"]) for r in rx.gram_counts(docs, "body").collect()}
+    sparse = [(g, i) for i, t in enumerate(texts) for g in rx.sparse_ngrams(t or "")]
+    classic = [(g, i) for i, t in enumerate(texts) for g in {(t or "")[k : k + 3] for k in range(len(t or "") - 2)}]
+    assert found == {k: (len({g for g, _ in x}), len(x)) for k, x in (("classic", classic), ("sparse", sparse))}
+    assert sorted(map(tuple, rx.sparse_postings(docs, "id", "body").collect())) == sorted(sparse)
+    some = sorted({g for g, _ in sparse})[::5]
+    few = rx.sparse_postings(docs, "id", "body", some)
+    assert "Python" not in plan(few) and "InArrow" not in plan(few)
+    assert sorted(map(tuple, few.collect())) == sorted((g, i) for g, i in sparse if g in some)
+    grams = sorted({g for g, _ in classic})[::4]
+    masks = rx.trigram_masks(docs, "id", "body", grams)
+    assert "Exchange hashpartitioning" not in plan(masks) and "posexplode" not in plan(masks)
+    every = rx.trigram_masks(docs, "id", "body").where(F.col("gram").isin(*grams))
+    assert sorted(map(tuple, masks.collect())) == sorted(map(tuple, every.collect()))
