@@ -6,19 +6,25 @@ import ast
 import io
 import re
 import tokenize
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomsearch.functions import text
+from loomsearch.functions import analysis, text
 from loomsearch.operators import index
 
 FIELDS = ["filename", "path", "extension", "content", "identifiers", "symbols", "imports", "comments", "string_literals", "frontmatter"]
 EXPORTABLE = ["symbols", "imports", "comments", "string_literals", "frontmatter"]
 
 
+_SHAPED = re.compile("(?=.*[_-])|(?=.*[a-z])(?=.*[A-Z])|(?=.*[A-Za-z])(?=.*[0-9])").match
+
+
 def identifier_lexemes(content: Column) -> Column:
     """Lexemes with a separator, mixed case, or both letters and digits."""
     shaped = lambda s: s.rlike("[_-]") | (s.rlike("[a-z]") & s.rlike("[A-Z]")) | (s.rlike("[A-Za-z]") & s.rlike("[0-9]"))
@@ -44,6 +50,54 @@ def field_tokens(fields: DataFrame) -> DataFrame:
     return fields.select("doc_id", "path", "field", text.code_tokens(F.col("text")).alias("tokens"))
 
 
+def query_base_postings(docs: DataFrame, key: str, path: str, content: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`index.query_field_postings` of the tokens of `base_fields`: one pass over each text for content and identifiers.
+
+    Tokens are only counted, and those of the terms of `terms(term)` kept.
+    """
+    wanted = index.few_terms(terms)
+    if wanted is None:
+        return index.query_field_postings(field_tokens(base_fields(docs, key, path, content)), terms)
+    sought = frozenset(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(lexeme: str) -> tuple[int, tuple[str, ...], bool]:
+            tokens = analysis.identifier_stream(lexeme)
+            return len(tokens), tuple(t for t in tokens if t in sought), bool(_SHAPED(lexeme))
+
+        kept = analysis.Kept(of)
+
+        def counted(lexemes: Counter, only_shaped: bool) -> tuple[int, list[dict]]:
+            length, hits = 0, {}
+            for lexeme, n in lexemes.items():
+                size, found, shaped = kept[lexeme]
+                if shaped or not only_shaped:
+                    length += n * size
+                    for t in found:
+                        hits[t] = hits.get(t, 0) + n
+            return length, [{"term": t, "tf": n} for t, n in hits.items()]
+
+        for b in batches:
+            own, rows = [], []
+            for i, named in enumerate(zip(*b.columns[1:])):
+                lexemes = [Counter(analysis.lexemes(x.as_py() or "")) for x in named]
+                for field, found, only_shaped in zip(FIELDS, [*lexemes, lexemes[3]], [False] * 4 + [True]):
+                    length, hits = counted(found, only_shaped)
+                    if length:
+                        own.append(i)
+                        rows.append((field, length, hits))
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), *columns], ["doc_id", "field", "length", "hits"])
+
+    p = F.col(path)
+    named = docs.select(F.col(key).alias("doc_id"), text.file_name(p).alias("name"), p.alias("path"), text.extension(p).alias("extension"), F.col(content).alias("content"))
+    schema = T.StructType([named.schema["doc_id"], *T._parse_datatype_string("field string, length bigint, hits array<struct<term: string, tf: bigint>>")])
+    view = named.mapInArrow(run, schema).persist()
+    posts = view.select("doc_id", "field", F.explode("hits").alias("h")).groupBy(F.col("h.term").alias("term"), "doc_id", "field").agg(F.sum("h.tf").alias("tf"))
+    return posts, view.select("doc_id", "field", "length")
+
+
 def heuristic_comments(content: str) -> list[str]:
     """Text behind the earliest of `//`, `#` and `/*` in a line; behind a line marker one character is skipped."""
     found: list[str] = []

@@ -27,13 +27,16 @@ def _setup(spark, sf_dir):
     return queries, intents, query.query_terms(queries)
 
 
+def _query_postings(spark, sf_dir, terms: DataFrame):
+    return fields.query_base_postings(_pages(spark, sf_dir), "doc_id", "path", "html", terms)
+
+
 def _fielded_rank(spark, sf_dir, intents):
     """A ranking function `(terms, k) -> (query_id, doc_id, rank, score)` over the fields of pages."""
     n = table(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
-    tokens = field_tokens(spark, sf_dir)
 
     def rank(terms: DataFrame, k: int) -> DataFrame:
-        by_field, lengths = index.query_field_postings(tokens, terms)
+        by_field, lengths = _query_postings(spark, sf_dir, terms)
         averages = index.field_averages(lengths, n)
         scores = ranking.bm25f(terms, intents, by_field, lengths, averages, n)
         return ranking.top_k(rounded(scores, "score"), k)
@@ -42,8 +45,8 @@ def _fielded_rank(spark, sf_dir, intents):
 
 
 def _seed_postings(spark, sf_dir):
-    tokens = field_tokens(spark, sf_dir)
-    return lambda seeds: index.field_frequencies(tokens.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi"))
+    """Postings of the few pages that come first."""
+    return lambda seeds: index.field_frequencies(field_tokens(spark, sf_dir, seeds))
 
 
 def bm25f(spark, sf_dir):
@@ -85,7 +88,7 @@ def static_prior(spark, sf_dir):
 def bm25f_prior(spark, sf_dir):
     """The first results with the static prior added to the score, as ranked search does."""
     _, intents, terms = _setup(spark, sf_dir)
-    by_field, lengths = index.query_field_postings(field_tokens(spark, sf_dir), terms)
+    by_field, lengths = _query_postings(spark, sf_dir, terms)
     n = table(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
     scores = rounded(ranking.bm25f(terms, intents, by_field, lengths, index.field_averages(lengths, n), n), "score")
     full = ranking.add_scores(scores, static_prior(spark, sf_dir), ["doc_id"], "static_prior")
@@ -96,7 +99,7 @@ def _explained(spark, sf_dir):
     """`(parts, postings by field, field weights by query)` of the first ten results."""
     _, intents, terms = _setup(spark, sf_dir)
     n = table(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
-    by_field, lengths = index.query_field_postings(field_tokens(spark, sf_dir), terms)
+    by_field, lengths = _query_postings(spark, sf_dir, terms)
     parts = explain.bm25f_terms(terms, intents, by_field, lengths, index.field_averages(lengths, n), n)
     best = ranking.top_k(rounded(parts.groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("score")), "score"), K).select("query_id", "doc_id")
     weights = intents.join(F.broadcast(ranking.intent_weights(spark)), "intent").select("query_id", "field", "fw")
@@ -124,7 +127,7 @@ def ltr_features(spark, sf_dir):
     ranked = _fielded_rank(spark, sf_dir, intents)(terms, K).persist()
     docs = quality.with_quality(_pages(spark, sf_dir), "path", "html").drop("html")
     judged = spark.createDataFrame([("q2", "https://m.ththth.example.net/en/25#top", 1)], "query_id string, path string, relevance int")
-    by_field, _ = index.query_field_postings(field_tokens(spark, sf_dir), terms)
+    by_field, _ = _query_postings(spark, sf_dir, terms)
     rows = features.feature_rows(ranked, queries.join(intents, "query_id"), terms, by_field, docs, judged)
     return rows.select("query_id", "query_intent", "doc_path", "rank", "relevance", F.explode("features").alias("feature", "value")).withColumn("value", F.round("value", 6))
 

@@ -56,9 +56,14 @@ def doc_lengths(spark, sf_dir):
     return lengths.crossJoin(F.broadcast(totals))
 
 
-def field_tokens(spark, sf_dir) -> DataFrame:
-    """Fields of pages, the address being the path. All are analysed as code, so that SQL can express the rest."""
+def field_tokens(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """Fields of pages, the address being the path. All are analysed as code, so that SQL can express the rest.
+
+    With `only(doc_id)`, of these pages.
+    """
     pages = texts(spark, sf_dir, "pages").select("page_id", "url", "html")
+    if only is not None:
+        pages = pages.join(F.broadcast(only.select(F.col("doc_id").alias("page_id")).distinct()), "page_id", "left_semi")
     return fields.field_tokens(fields.base_fields(pages, "page_id", "url", "html"))
 
 

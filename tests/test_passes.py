@@ -3,7 +3,7 @@
 import random
 
 from loomsearch.functions import analysis, stop_words, text
-from loomsearch.operators import index
+from loomsearch.operators import fields, index, query
 from loomsearch.operators import regex_search as rx
 from pyspark.sql import functions as F
 
@@ -74,3 +74,15 @@ def test_gram_counts_and_masks(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in plan(masks) and "posexplode" not in plan(masks)
     every = rx.trigram_masks(docs, "id", "body").where(F.col("gram").isin(*grams))
     assert sorted(map(tuple, masks.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_postings_of_base_fields(spark):
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["src/mainApp.rs", "a/b/READ_ME", "x.tar.gz", "", "https://m.example.net/en/25#top"]), " ".join(rng.sample(lexemes(), 30))) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, None, None), (41, "a b/c.d\n", "  "), (42, "p/q.py", "plain words")], "id int, path string, body string")
+    terms = query.query_terms(spark.createDataFrame([("q1", "main app rs example ab r s 1 plain")], "query_id string, query string"))
+    made = fields.query_base_postings(docs, "id", "path", "body", terms)
+    want = index.query_field_postings(fields.field_tokens(fields.base_fields(docs, "id", "path", "body")), terms)
+    assert "regexp_extract_all" in plan(want[0]) and "regexp_extract_all" not in plan(made[0])
+    for a, b in zip(made, want):
+        assert sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == sorted(map(tuple, b.select(*sorted(b.columns)).collect()))
