@@ -327,6 +327,30 @@ def sharing_pairs(packed: DataFrame, numbers: list[int], ratio: float, keep: Cal
     return counted.repartition(parts, "bucket").mapInArrow(_add_up(keep, edges_only), out)
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [_unpack(p.as_buffer().to_pybytes(), False) for b in batches for p in b.column(1)]
+    if not parts:
+        return
+    keys, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+    own, tok = of[np.concatenate([p[2] + s for p, s in zip(parts, shift)])], np.concatenate([p[3] for p in parts])
+    del parts
+    order = np.argsort(tok, kind="stable")
+    tok, own = tok[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
+    first = np.repeat(own[starts], np.diff(np.append(starts, len(tok))))
+    low = forest(len(keys), own, first)
+    node = np.flatnonzero(low != np.arange(len(keys)))
+    for i in range(0, len(node), 1 << 16):
+        part = node[i : i + (1 << 16)]
+        yield pa.record_batch([pa.array(keys[part]), pa.array(keys[low[part]])], schema=_EDGES)
+
+
+def sharing_edges(packed: DataFrame, numbers: list[int]) -> DataFrame:
+    """`(a, b)` edges that link the same keys as shared tokens do, no more than keys in each bucket; no pair is counted."""
+    return packed.repartition(len(numbers), "bucket").mapInArrow(_edges, "a bigint, b bigint")
+
+
 LINKS = "a bigint, b bigint, links bigint, best double"
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("best", pa.float64())])
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsearch.llm import _pairs, _shared, _words, ngram_join
@@ -23,6 +24,7 @@ from loomsearch.llm import _pairs, _shared, _words, ngram_join
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LONG, SHORT, GRAM = 64, 32, 7
 TOKENS = 1 << 23  # signature grams of a bucket, about
+TILE = 1 << 11  # members of a component that are paired at once with as many others
 _OUT = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("sig", pa.string()), ("sig2", pa.string()), ("whole", pa.int64())])
 
 
@@ -107,10 +109,6 @@ def _pack(numbers: list[int]):
     return run
 
 
-def _all(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    return np.ones(len(x), bool)
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edit distances of pairs of byte strings of 1 to 64 characters, a column of all pairs at a time (Myers)."""
     x, y = (s.astype("S64").view(np.uint8).reshape(-1, 64) for s in (a, b))
@@ -145,23 +143,82 @@ def scores(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _grams(blocks: np.ndarray, sigs: np.ndarray, sigs2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven characters in a row with their block size as one number, and whose they are; each once for its owner."""
+    codes, owners = [], []
+    for double, given in enumerate((sigs, sigs2)):
+        sig = given.astype("S64").view(np.uint8).reshape(-1, LONG)
+        size, wide = np.count_nonzero(sig, axis=1), sig.astype(np.uint64)
+        level = (np.log2(blocks // 3).round().astype(np.uint64) + np.uint64(double)) << np.uint64(8 * GRAM)
+        for at in range(LONG - GRAM + 1):
+            own = np.flatnonzero(size >= at + GRAM)
+            code = level[own]
+            for i in range(GRAM):
+                code = code | (wide[own, at + i] << np.uint64(8 * i))
+            codes.append(code)
+            owners.append(own)
+    return np.concatenate(codes), np.concatenate(owners)
+
+
+def candidates(blocks: np.ndarray, sigs: np.ndarray, sigs2: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that share seven characters at one block size; with `side`, only those of unlike sides."""
+    n = len(blocks)
+    tok, own = _grams(blocks, sigs, sigs2)
+    shared = np.zeros(n * n, bool)
+    for found in _pairs._run_pairs(tok, own, np.zeros(len(tok), np.int32), np.zeros(n), np.arange(n) if side is None else side, 0.0, None, n):
+        shared[found >> 1] = True
+    at = np.flatnonzero(shared)
+    return at // n, at % n
+
+
 def _linked(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _pairs.Links()
-        for batch in batches:
-            key_a, key_b, n_a, n_b, block_a, _, _, block_b, _, _ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            sig_a, sig2_a, sig_b, sig2_b = (np.array(batch.column(i).to_pylist(), "S64") for i in (5, 6, 8, 9))
-            best = np.full(len(key_a), -1)
-            for x, y, where in ((sig_a, sig_b, block_a == block_b), (sig2_a, sig2_b, block_a == block_b), (sig_a, sig2_b, block_a == 2 * block_b), (sig2_a, sig_b, block_b == 2 * block_a)):
-                at = np.flatnonzero(where)
-                best[at] = np.maximum(best[at], scores(x[at], y[at], least))
-            at = np.flatnonzero(best >= 0)
-            links.add(key_a[at], key_b[at], n_a[at], n_b[at], best[at].astype(np.float64))
+
+        def settle(rows: list[tuple], across: bool) -> None:
+            side, keys, n, blocks = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+            sigs, sigs2 = (np.array([r[i] for r in rows], "S64") for i in (4, 5))
+            a, b = candidates(blocks, sigs, sigs2, side if across else None)
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                best = np.full(len(x), -1)
+                for s, t, where in ((sigs, sigs, blocks[x] == blocks[y]), (sigs2, sigs2, blocks[x] == blocks[y]), (sigs, sigs2, blocks[x] == 2 * blocks[y]), (sigs2, sigs, blocks[y] == 2 * blocks[x])):
+                    at = np.flatnonzero(where)
+                    best[at] = np.maximum(best[at], scores(s[x[at]], t[y[at]], least))
+                at = np.flatnonzero(best >= 0)
+                links.add(keys[x[at]], keys[y[at]], n[x[at]], n[y[at]], best[at].astype(np.float64))
+
+        held: list[tuple] = []  # of whole small components, which share no gram
+        for (_, i, j), rows in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:3]):
+            own = [r[3:] for r in rows]
+            if i != j:
+                settle(own, True)
+                continue
+            if held and len(held) + len(own) > TILE:
+                settle(held, False)
+                held = []
+            held += own
+        if held:
+            settle(held, False)
         yield from links.rows()
 
     return run
 
 
+def tiles(held: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
+    """Rows `(component, i, j, side, ...)` of `held` by tiles: all pairs of `TILE` members of a component with `TILE` others.
+
+    A component of m members has m / TILE copies of each, and is worked on by as many tasks as it has tiles.
+    """
+    several = groups.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    placed = held.join(groups.withColumnRenamed("node", "key"), "key").join(several, "component")
+    at = F.floor((F.row_number().over(Window.partitionBy("component").orderBy("key")) - 1) / TILE).cast("int")
+    chunk = placed.withColumn("chunk", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / TILE).cast("int"))))
+    i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
+    rows = chunk.select("component", i.alias("i"), j.alias("j"), F.when(F.col("chunk") == i, 0).otherwise(1).alias("side"), "key", "n", "block", "sig", "sig2")
+    return rows.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+
 def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, class_id, copies, links, best)` of every document whose fingerprint matches another's.
 
@@ -181,13 +238,8 @@ def matches(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col:
     held = _shared.cut(keyed.withColumn("key", F.monotonically_increasing_id()))  # only once this is written are the numbers fixed
     numbers = _pairs.buckets(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.count() * (LONG + SHORT) / TOKENS)))
     packed = held.select("key", "block", "sig", "sig2").mapInArrow(_pack(numbers), _pairs.PACKED)
-    pairs = _pairs.sharing_pairs(packed, numbers, 0.0, _all).select("key_a", "key_b")
-
-    side = lambda s: held.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "block", "sig", "sig2", "n")))
-    both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
-
-    scored = both.select("key_a", "key_b", "n_a", "n_b", "block_a", "sig_a", "sig2_a", "block_b", "sig_b", "sig2_b")
-    linked = _shared.cut(scored.mapInArrow(_linked(least), _pairs.LINKS))
+    groups = _shared.cut(ngram_join.components(_pairs.sharing_edges(packed, numbers), held.select(F.col("key").alias("node"))))
+    linked = _shared.cut(tiles(held, groups, len(numbers)).mapInArrow(_linked(least), _pairs.LINKS))
     named = ngram_join.classes(held.select(F.col("key").alias("node"), "rep", "n"), linked)
     found = named.join(held.select("name", F.col("key").alias("node")), "node")
     copies = F.col("n") - 1

@@ -2,7 +2,9 @@ import random
 import time
 
 import numpy as np
+import pytest
 
+from loomsearch.llm import _pairs
 from loomsearch.llm import fingerprint as fp
 
 
@@ -119,3 +121,20 @@ def test_distances_equal_the_slow_ones_in_time():
     start = time.thread_time()
     fp.scores(np.tile(x, 250), np.tile(y, 250), 50)
     assert time.thread_time() - start < 15
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_pairs_by_tiles(spark, monkeypatch, tile):
+    rng = random.Random(17)
+    base = ["".join(rng.choices("abcdefgh ", k=900)) for _ in range(4)]
+    texts = [b[:at] + "".join(rng.choices("xyz", k=rng.randint(1, 30))) + b[at:] for b in base for at in rng.sample(range(900), 6)] + base
+    prints = [fp.fingerprint(t) for t in texts]
+    columns = np.array([p[0] for p in prints]), *(np.array([fp.squeezed(p[i]) for p in prints], "S64") for i in (1, 2))
+    grams = [fp._gram_tokens(b, s.decode()) | fp._gram_tokens(2 * b, t.decode()) for b, s, t in zip(*(c.tolist() for c in columns))]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if grams[i] & grams[j]}
+    assert {(max(p), min(p)) for p in zip(*(x.tolist() for x in fp.candidates(*columns, None)))} == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = sorted(map(tuple, fp.matches(docs).collect()))
+    monkeypatch.setattr(fp, "TILE", tile)
+    monkeypatch.setattr(_pairs, "sharing_pairs", None)  # no pair is shuffled
+    assert sorted(map(tuple, fp.matches(docs).collect())) == whole and max(r[3] for r in whole) >= 6
